@@ -95,6 +95,19 @@ def _with_totals(projects: DataFrame, totals: DataFrame, mode: str) -> DataFrame
     )
 
 
+def project_totals(projects: DataFrame, labor: DataFrame, material: DataFrame,
+                   milestones: DataFrame, user_id=None, mode: str = "exact") -> DataFrame:
+    """Projects with decimal ``labor_total, material_total, received,
+    pending_receive, unpaid_labor, total_cost, profit`` (inputs of the rollups)."""
+    p = _tenant(projects, user_id)
+    t = child_totals(_tenant(labor, user_id), _tenant(material, user_id),
+                     _tenant(milestones, user_id))
+    j = _with_totals(p, t, mode)
+    total_cost = F.col("labor_total") + F.col("material_total")
+    return j.withColumn("total_cost", total_cost) \
+            .withColumn("profit", F.col("contract_value") - F.col("total_cost"))
+
+
 def project_list(projects: DataFrame, labor: DataFrame, material: DataFrame,
                  milestones: DataFrame, user_id=None, mode: str = "exact") -> DataFrame:
     """J2 (exact) / J1 (reference): every project of a user (or of all users)

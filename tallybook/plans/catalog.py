@@ -32,4 +32,5 @@ def load_all() -> None:
     # Import for registration side effects.
     from tallybook.plans import (  # noqa: F401
         q_pnl,
+        q_questions,
     )
