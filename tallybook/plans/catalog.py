@@ -33,4 +33,5 @@ def load_all() -> None:
     from tallybook.plans import (  # noqa: F401
         q_pnl,
         q_questions,
+        q_clean,
     )
