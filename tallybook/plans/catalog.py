@@ -34,4 +34,5 @@ def load_all() -> None:
         q_pnl,
         q_questions,
         q_clean,
+        q_import,
     )
