@@ -35,4 +35,5 @@ def load_all() -> None:
         q_questions,
         q_clean,
         q_import,
+        q_quota,
     )
