@@ -36,4 +36,5 @@ def load_all() -> None:
         q_clean,
         q_import,
         q_quota,
+        q_chat,
     )
