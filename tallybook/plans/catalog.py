@@ -37,4 +37,5 @@ def load_all() -> None:
         q_import,
         q_quota,
         q_chat,
+        q_docs,
     )
