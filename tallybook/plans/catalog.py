@@ -38,4 +38,5 @@ def load_all() -> None:
         q_quota,
         q_chat,
         q_docs,
+        q_messages,
     )
