@@ -39,4 +39,5 @@ def load_all() -> None:
         q_chat,
         q_docs,
         q_messages,
+        q_stream,
     )
