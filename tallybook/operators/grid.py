@@ -144,3 +144,29 @@ def preview(grid: DataFrame, n_rows: int = PREVIEW_ROWS) -> DataFrame:
                                 lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(""))))
          .alias("cells"))
     return rows
+
+
+def grid_scan(spark, path: str, max_cols: int = 64) -> DataFrame:
+    """A folder of CSV sheet exports -> grid rows, no header, all text.
+
+    An explicit schema ``c0..c{max_cols-1}`` keeps ragged rows whole (an
+    inferred one takes one row's width).  ``multiLine`` makes each file one
+    unsplit task, so ``monotonically_increasing_id`` follows file order and
+    serves as ``row_idx`` (ordered, not dense) with no shuffle.  ``file`` is
+    the file's path and ``sheet`` its name without extension; partition
+    columns of the folder layout are kept (``part_<name>`` when the name is
+    taken)."""
+    schema = ", ".join(f"c{i} string" for i in range(max_cols))
+    df = (spark.read.schema(schema).option("header", False).option("multiLine", True)
+               .option("mode", "PERMISSIVE").csv(path)
+               .withColumn("file", F.col("_metadata.file_path"))
+               .withColumn("row_idx", F.monotonically_increasing_id()))
+    parts = [c for c in df.columns if c not in {f"c{i}" for i in range(max_cols)} | {"file", "row_idx"}]
+    cells = F.array(*[F.col(f"c{i}") for i in range(max_cols)])
+    last = F.aggregate(F.transform(cells, lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0)),
+                       F.lit(0), lambda a, b: F.greatest(a, b))
+    taken = {"file", "sheet", "sheet_idx", "row_idx", "cells"}
+    part_cols = [F.col(c).alias("part_" + c if c in taken else c) for c in parts]
+    return df.select("file", F.regexp_extract("file", r"([^/]*?)(\.[^./]*)?$", 1).alias("sheet"),
+                     F.lit(0).alias("sheet_idx"), "row_idx", *part_cols,
+                     F.slice(cells, 1, F.greatest(last, F.lit(1))).alias("cells"))

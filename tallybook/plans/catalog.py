@@ -40,4 +40,5 @@ def load_all() -> None:
         q_docs,
         q_messages,
         q_stream,
+        q_store,
     )
