@@ -6,11 +6,12 @@ is identified by ``(file, sheet)`` and ordered by ``row_idx``.
 Fill (G1)
     ``right`` fills a blank from its left neighbour inside the row: a fold
     over the array, no shuffle.  ``down`` fills a blank from the cell above.
-    It is a segmented scan done skew-safe: rows are cut into blocks of
-    ``block`` rows, the last value of each (column, block) is found by an
-    aggregate, a window over those (few) block values gives each block its
-    carry-in, and a window inside each block finishes the fill.  No task ever
-    scans more than one block of one column, however tall the sheet.
+    It is a segmented scan done skew-safe on whole rows: rows are cut into
+    blocks of ``block`` rows; one window per block fills every column at once;
+    the last filled row of each block (an aggregate) feeds a window over the
+    few block rows of a sheet that gives each block its carry-in; the small
+    carry table joins back (broadcast by adaptive execution once measured
+    small).  No task ever sorts more than one block of one sheet.
     ``both`` (the reference) is right then down; ``none`` leaves the grid.
 Header (G2)
     ``intended``: the row with most non-blank cells in the raw grid, first
@@ -42,21 +43,25 @@ def fill_right(cells: Column) -> Column:
     return F.aggregate(cells, zero, step, lambda acc: acc["o"])
 
 
-def fill_down(grid: DataFrame, block: int = 4096) -> DataFrame:
-    long = (grid.select(*SHEET, "sheet_idx", "row_idx", F.posexplode("cells").alias("col_idx", "v"))
-                .withColumn("_blk", F.floor(F.col("row_idx") / block)))
-    col_key = [*SHEET, "col_idx"]
-    last_in_block = long.groupBy(*col_key, "_blk").agg(
-        F.max_by("v", F.when(F.col("v").isNotNull(), F.col("row_idx"))).alias("_bl"))
-    wb = Window.partitionBy(*col_key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last_in_block.select(*col_key, "_blk", F.last("_bl", ignorenulls=True).over(wb).alias("_carry"))
-    wr = Window.partitionBy(*col_key, "_blk").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
-    filled = (long.join(carry, [*col_key, "_blk"], "left")
-                  .select(*SHEET, "sheet_idx", "row_idx", "col_idx",
-                          F.coalesce(F.last("v", ignorenulls=True).over(wr), F.col("_carry")).alias("v")))
-    return (filled.groupBy(*SHEET, "sheet_idx", "row_idx")
-                  .agg(F.array_sort(F.collect_list(F.struct("col_idx", "v"))).alias("_c"))
-                  .select(*SHEET, "sheet_idx", "row_idx", F.transform("_c", lambda s: s["v"]).alias("cells")))
+def fill_down(grid: DataFrame, block: int = 4096, width: int | None = None) -> DataFrame:
+    """Fill each column from above, whole rows at a time (see module doc).
+
+    ``width`` is the widest row (computed when not given)."""
+    if width is None:
+        width = grid.select(F.max(F.size("cells"))).first()[0] or 0
+    g = grid.withColumn("_blk", F.floor(F.col("row_idx") / block))
+    wr = Window.partitionBy(*SHEET, "_blk").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
+    inblk = g.withColumn("_f", F.array(*[F.last(F.try_element_at("cells", F.lit(i + 1)), ignorenulls=True)
+                                         .over(wr) for i in range(width)]))
+    # last filled values of each block, then the carry-in from earlier blocks
+    ends = inblk.groupBy(*SHEET, "_blk").agg(F.max_by("_f", "row_idx").alias("_e"))
+    wb = Window.partitionBy(*SHEET).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*SHEET, "_blk", F.array(*[F.last(F.col("_e")[i], ignorenulls=True).over(wb)
+                                                   for i in range(width)]).alias("_c"))
+    j = inblk.join(carry, [*SHEET, "_blk"], "left")
+    filled = F.zip_with("_f", F.coalesce("_c", F.array_repeat(F.lit(None).cast("string"), width)),
+                        lambda a, b: F.coalesce(a, b))
+    return j.select(*SHEET, "sheet_idx", "row_idx", F.slice(filled, 1, F.size("cells")).alias("cells"))
 
 
 def grid_fill(grid: DataFrame, mode: str = "down", block: int = 4096) -> DataFrame:
