@@ -43,7 +43,7 @@ def fill_right(cells: Column) -> Column:
     return F.aggregate(cells, zero, step, lambda acc: acc["o"])
 
 
-def fill_down(grid: DataFrame, block: int = 4096, width: int | None = None) -> DataFrame:
+def fill_down(grid: DataFrame, block: int = 4096, width: int | None = None, keep=()) -> DataFrame:
     """Fill each column from above, whole rows at a time (see module doc).
 
     ``width`` is the widest row (computed when not given)."""
@@ -61,23 +61,39 @@ def fill_down(grid: DataFrame, block: int = 4096, width: int | None = None) -> D
     j = inblk.join(carry, [*SHEET, "_blk"], "left")
     filled = F.zip_with("_f", F.coalesce("_c", F.array_repeat(F.lit(None).cast("string"), width)),
                         lambda a, b: F.coalesce(a, b))
-    return j.select(*SHEET, "sheet_idx", "row_idx", F.slice(filled, 1, F.size("cells")).alias("cells"))
+    return j.select(*SHEET, "sheet_idx", "row_idx", *keep, F.slice(filled, 1, F.size("cells")).alias("cells"))
 
 
-def grid_fill(grid: DataFrame, mode: str = "down", block: int = 4096) -> DataFrame:
-    """G1: fill blank cells (see module doc)."""
+def grid_fill(grid: DataFrame, mode: str = "down", block: int = 4096, keep=()) -> DataFrame:
+    """G1: fill blank cells (see module doc); ``keep`` columns pass through."""
     if mode not in FILL_MODES:
         raise ValueError(f"fill mode must be one of {FILL_MODES}")
-    g = grid.select(*SHEET, "sheet_idx", "row_idx", "cells")
+    g = grid.select(*SHEET, "sheet_idx", "row_idx", *keep, "cells")
     if mode in ("right", "both"):
         g = g.withColumn("cells", fill_right(F.col("cells")))
     if mode in ("down", "both"):
-        g = fill_down(g, block)
+        g = fill_down(g, block, keep=keep)
     return g
 
 
+RAW_COUNT = "_raw_n"
+
+
+def with_raw_count(grid: DataFrame) -> DataFrame:
+    """Non-blank cells of each raw row, to carry through the fill (header search)."""
+    return grid.withColumn(RAW_COUNT, nonnull_count(F.col("cells")))
+
+
 def header_detect(grid: DataFrame, filled: DataFrame, mode: str = "intended") -> DataFrame:
     """``(file, sheet, sheet_idx, header_row, names)`` per non-empty sheet."""
+    if mode == "intended" and RAW_COUNT in filled.columns:
+        # one aggregate over the filled rows: raw count decides, filled names are kept
+        names = F.transform("cells", lambda x: F.trim(x))
+        best = (filled.groupBy(*SHEET, "sheet_idx")
+                      .agg(F.max_by(F.struct(F.col("row_idx").alias("header_row"), names.alias("names")),
+                                    F.struct(RAW_COUNT, -F.col("row_idx"))).alias("b"),
+                           F.max(RAW_COUNT).alias("_max")))
+        return best.filter(F.col("_max") > 0).select(*SHEET, "sheet_idx", "b.header_row", "b.names")
     if mode == "intended":
         counted = grid
     elif mode == "reference":

@@ -35,7 +35,8 @@ class Imported:
 def import_grid(grid: DataFrame, fill: str = "down", header_mode: str = "intended",
                 min_fields: int = 2, date_mode: str = "all", keep_sign: bool = False,
                 overrides: DataFrame | None = None, block: int = 4096) -> Imported:
-    filled = G.grid_fill(grid, fill, block)
+    counted = G.with_raw_count(grid)
+    filled = G.grid_fill(counted, fill, block, keep=[G.RAW_COUNT] if header_mode == "intended" else [])
     headers = G.header_detect(grid, filled, header_mode)
     body = G.body_rows(filled, headers)
     sheet_types, column_map = M.map_columns(headers, min_fields)
