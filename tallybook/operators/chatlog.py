@@ -20,9 +20,14 @@ NO_DATA = "ไม่พบข้อมูล"
 ERROR_PREFIX = "เกิดข้อผิดพลาด: "
 
 
+# Every character Python's str.strip() removes, by str.isspace().
+WS_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def strip_ws(c: Column) -> Column:
-    """Python ``str.strip()``: whitespace at both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()``: whitespace at both ends (a character-set trim,
+    no regular expression)."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def role_map(role) -> Column:
