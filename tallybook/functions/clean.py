@@ -56,8 +56,21 @@ def number_is_bad(x) -> Column:
     return (d != "") & d.try_cast("double").isNull()
 
 
+# Shape of text each format can parse (Python's strptime: %d and %m one or two
+# digits, %Y four, %y two, %b/%B letters).  Testing the shape first means a
+# format is only tried on text it may accept, so failed parses stay rare.
+DATE_SHAPES = {
+    "d/M/yyyy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$",
+    "d-M-yyyy": r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$",
+    "yyyy-M-d": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
+    "d/M/yy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$",
+    "d MMM yyyy": r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$",
+    "d MMMM yyyy": r"^[0-9]{1,2} [A-Za-z]+ [0-9]{4}$",
+}
+
+
 def _parse_one(x: Column, pattern: str) -> Column:
-    d = F.try_to_timestamp(x, F.lit(pattern)).cast("date")
+    d = F.when(x.rlike(DATE_SHAPES[pattern]), F.try_to_timestamp(x, F.lit(pattern))).cast("date")
     if pattern == TWO_DIGIT_YEAR:
         d = F.when(F.year(d) >= PY_CENTURY_PIVOT, F.add_months(d, -1200)).otherwise(d)
     return d
