@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallybook import schemas as S
 from tallybook.operators import grid as G
 from tallybook.operators import mapping as M
+from tallybook.session import cut_lineage
 
 # The reference's report texts.
 SKIP_REASON = "ไม่สามารถระบุประเภทข้อมูลได้"
@@ -34,9 +35,16 @@ class Imported:
 
 def import_grid(grid: DataFrame, fill: str = "down", header_mode: str = "intended",
                 min_fields: int = 2, date_mode: str = "all", keep_sign: bool = False,
-                overrides: DataFrame | None = None, block: int = 4096) -> Imported:
+                overrides: DataFrame | None = None, block: int = 4096,
+                materialize: bool = True) -> Imported:
+    """The import DAG.  The filled grid feeds the header search, the body
+    rows, the mapping and the report; with ``materialize`` it is written once
+    as a reliable checkpoint in the shared folder, so those branches read it
+    instead of recomputing the fill, and a lost executor never replays it."""
     counted = G.with_raw_count(grid)
     filled = G.grid_fill(counted, fill, block, keep=[G.RAW_COUNT] if header_mode == "intended" else [])
+    if materialize:
+        filled = cut_lineage(filled)
     headers = G.header_detect(grid, filled, header_mode)
     body = G.body_rows(filled, headers)
     sheet_types, column_map = M.map_columns(headers, min_fields)
