@@ -21,7 +21,9 @@ from tallybook.llm.common import keep
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            "n_lines", "n_upper", "n_digits", "n_ends"]
+            "n_lines", "n_upper", "n_digits", "n_ends", "n_marks", "n_symbol_words"]
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+SYMBOL_TO_HASH = bytes.maketrans(SYMBOLS.encode(), b"#" * len(SYMBOLS))
 
 
 def measure(text: str | None) -> tuple[int, ...]:
@@ -45,8 +47,11 @@ def measure(text: str | None) -> tuple[int, ...]:
                 covered[i:i + 3] = b"\1\1\1"
         repeated = sum(covered)
     upper = sum(map(bytes.isupper, words))
-    return (n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines),
-            upper, sum(map(text.count, "0123456789")), sum(map(text.count, ".!?")))
+    symbols = sum(map(text.count, SYMBOLS))
+    marked = sum(b"#" in w for w in raw.translate(SYMBOL_TO_HASH).split()) if symbols else 0
+    return (n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines),
+            upper, sum(map(text.count, "0123456789")), sum(map(text.count, ".!?")),
+            len(raw) - len(raw.translate(None, MARKS)), marked)
 
 
 @pandas_udf(StructType([StructField(c, LongType()) for c in MEASURES]))
@@ -69,6 +74,8 @@ def rules() -> dict[str, Column]:
         "length": vote(c("n_words") < 50, c("n_words") >= 80),
         "word_length": vote((mean < 3) | (mean > 12), (mean >= 3.5) & (mean <= 9)),
         "symbols": vote(c("n_symbols") * 10 > words, c("n_symbols") * 100 <= words),
+        "marks": vote(c("n_marks") * 100 > chars * 15, c("n_marks") * 100 <= chars * 8),
+        "symbol_words": vote(c("n_symbol_words") * 10 > words, c("n_symbol_words") * 50 <= words),
         "repeated_lines": vote(c("n_dup_lines") * 4 > lines, c("n_dup_lines") == 0),
         "repeated_words": vote(c("n_repeat_words") * 10 > words * 3, c("n_repeat_words") * 20 <= words),
         "shouting": vote(c("n_upper") * 10 > words * 3, c("n_upper") * 20 <= words),
@@ -126,7 +133,7 @@ def judge(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", leas
     base_failed, votes, quality, kept``.  A null or empty text has measures 0 and fails.
     ``kept`` is false for a failed text, else whether ``quality >= least``.  Repeated rows
     are judged alike; other columns are not read; an empty table gives an empty result.
-    The driver sees one row per vote pattern, at most 3 ** 8.
+    The driver sees one row per vote pattern, at most 3 to the number of rules.
     """
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     voted = rules()
