@@ -66,8 +66,10 @@ def exact_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         "doc_id", "text_sha256", "names", "extra", "row", F.xxhash64("names", "extra").alias("h"))
     groups = rows.groupBy("h", "names", "extra").agg(
         F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("group_size"))
-    many = groups.filter("group_size > 1").select(
-        F.col("h").alias("g_h"), F.col("names").alias("g_names"), F.col("extra").alias("g_extra"), "top", "group_size")
+    # stored, so that the join below reads both sides through exchanges whose hot parts Spark can split
+    many = keep(groups.filter("group_size > 1").select(
+        F.col("h").alias("g_h"), F.col("names").alias("g_names"), F.col("extra").alias("g_extra"), "top", "group_size"),
+        "groups")
     same = (F.col("h") == F.col("g_h")) & (F.col("names") == F.col("g_names")) & (F.col("extra") == F.col("g_extra"))
     alone = F.col("top").isNull()
     return rows.join(many, same, "left").select(

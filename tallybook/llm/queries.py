@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from tallybook.llm import common, exactdedup, quality, sharding
+import public_tokenizers
+
+from tallybook.llm import common, exactdedup, packing, quality, sharding
+
+
+def op1_pack(spark, sf_dir):
+    """All documents packed into windows of 4096 tokens."""
+    return packing.pack(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2,
+                        with_ids=False)
 
 
 def op3_shard(spark, sf_dir):
@@ -29,5 +37,5 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM t WINDOW g AS (PARTITION BY s)
 """
 
-QUERIES = {f.__name__: f for f in (op3_shard, op5_quality, op6_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pack, op3_shard, op5_quality, op6_exact_dedup)}
 ORACLE = {"op6_exact_dedup": OP6_SQL}
