@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallybook.llm import common, exactdedup, packing, quality, sharding
+from tallybook.llm import common, exactdedup, licenses, packing, quality, sharding
 
 
 def op1_pack(spark, sf_dir):
@@ -37,5 +37,10 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM t WINDOW g AS (PARTITION BY s)
 """
 
-QUERIES = {f.__name__: f for f in (op1_pack, op3_shard, op5_quality, op6_exact_dedup)}
+def op9_license_scan(spark, sf_dir):
+    """License phrases and fuzzy notices in all documents."""
+    return licenses.scan(common.documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op3_shard, op5_quality, op6_exact_dedup, op9_license_scan)}
 ORACLE = {"op6_exact_dedup": OP6_SQL}
