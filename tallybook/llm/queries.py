@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from tallybook.llm import common, exactdedup, licenses, packing, quality, sharding
+from tallybook.llm import common, exactdedup, langid, licenses, packing, quality, sharding
 
 
 def op1_pack(spark, sf_dir):
@@ -13,6 +14,17 @@ def op1_pack(spark, sf_dir):
                         with_ids=False)
 
 
+def id_mod(k: int):
+    """crc32 of the id's text, modulo ``k``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(k))
+
+
+def op2_langid(spark, sf_dir):
+    """Language of all documents, learned from rows outside the held-out quarter."""
+    said = langid.learn_and_identify(common.documents(spark, sf_dir), id_mod(4) == 2)
+    return said.select("doc_id", (id_mod(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_shard(spark, sf_dir):
     """All documents in 16 equal shards by rendezvous hashing of doc_id."""
     return sharding.shard_rows(common.documents(spark, sf_dir), [1.0] * 16)
@@ -42,5 +54,5 @@ def op9_license_scan(spark, sf_dir):
     return licenses.scan(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op3_shard, op5_quality, op6_exact_dedup, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_langid, op3_shard, op5_quality, op6_exact_dedup, op9_license_scan)}
 ORACLE = {"op6_exact_dedup": OP6_SQL}
