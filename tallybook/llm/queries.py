@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallybook.llm import common, exactdedup, langid, licenses, packing, quality, sharding
+from tallybook.llm import common, exactdedup, langid, licenses, packing, quality, sharding, toxicity
 
 
 def op1_pack(spark, sf_dir):
@@ -30,6 +30,19 @@ def op3_shard(spark, sf_dir):
     return sharding.shard_rows(common.documents(spark, sf_dir), [1.0] * 16)
 
 
+def toxicity_net(docs, sf_dir):
+    """Learned from labelled rows whose id's crc32 is not 1 modulo 3."""
+    labels = docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.learn(docs.filter(id_mod(3) != 1), labels)
+
+
+def op4_toxicity(spark, sf_dir):
+    """Toxicity of all documents, learned from labelled rows outside the held-out third."""
+    docs = common.documents(spark, sf_dir)
+    said = toxicity.score(docs, toxicity_net(docs, sf_dir))
+    return said.select("doc_id", (id_mod(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op5_quality(spark, sf_dir):
     """Quality verdicts of all documents by weak supervision."""
     return quality.judge(common.documents(spark, sf_dir))
@@ -54,5 +67,5 @@ def op9_license_scan(spark, sf_dir):
     return licenses.scan(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_langid, op3_shard, op5_quality, op6_exact_dedup, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_langid, op3_shard, op4_toxicity, op5_quality, op6_exact_dedup, op9_license_scan)}
 ORACLE = {"op6_exact_dedup": OP6_SQL}
