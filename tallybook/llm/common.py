@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
@@ -35,35 +36,49 @@ def lower_ascii(text: Column) -> Column:
         F.translate(text, UPPER, UPPER.lower()))
 
 
-def with_place(df: DataFrame) -> DataFrame:
-    """Adds ``piece`` (input split) and ``place`` (growing inside a split).
+def keep_placed(df: DataFrame, group: list[str], name: str) -> DataFrame:
+    """``df`` stored with ``piece`` (input split) and ``place`` (growing inside a split).
 
-    Only to be used right before :func:`keep`: the stored values are what later
-    steps rely on, never a second evaluation.
+    Each split is sorted by ``group`` first, so a group's rows of one split have
+    consecutive places.  Later steps use the stored numbers, never a second evaluation.
     """
-    return df.withColumn("piece", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
+    return keep(df.sortWithinPartitions(*group).withColumn("piece", F.spark_partition_id())
+                .withColumn("place", F.monotonically_increasing_id()), name)
+
+
+#: Rows of a small table that may be broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 50_000
+
+
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """Hints a broadcast for a stored table whose counted rows allow it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def number_rows(kept: DataFrame, group: list[str], out: str) -> DataFrame:
     """Gapless numbers from 0 inside ``group`` in the order (piece, place).
 
-    ``kept`` is a stored table from :func:`with_place`.  Rows are ranked inside
-    (group, piece), at most the rows of one input split, and shifted by the
-    counts of earlier pieces, so a group with a third of all rows is spread
-    over all its pieces.
+    ``kept`` comes from :func:`keep_placed` with the same ``group``.  A row's number is its distance from
+    the group's first place in its piece plus the counts of earlier pieces: one join with
+    a table of a row per (group, piece), no shuffle or sort of the rows, whatever a
+    group's size.
     """
-    counts = kept.groupBy(*group, "piece").agg(F.count(F.lit(1)).alias("_n"))
+    counts = kept.groupBy(*group, "piece").agg(F.count(F.lit(1)).alias("_n"), F.min("place").alias("_first"))
     before = Window.partitionBy(*group).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("piece").alias("_g_piece"),
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*group, "piece").orderBy("place")
-    ranked = kept.withColumn("_in", F.row_number().over(inside) - 1)
+    starts = keep(counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("piece").alias("_g_piece"),
+                                (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")), "starts")
     same = F.lit(True)
     for c in [*group, "piece"]:
         same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    return (ranked.join(starts, same, "inner")
-            .withColumn(out, (F.col("_start") + F.col("_in")).cast("long"))
-            .drop("_start", "_in", "_g_piece", *[f"_g_{g}" for g in group]))
+    return (kept.join(small_or_shuffled(starts), same, "inner")
+            .withColumn(out, (F.col("place") + F.col("_shift")).cast("long"))
+            .drop("_shift", "_g_piece", *[f"_g_{g}" for g in group]))
+
+
+def literal_table(spark, rows: list[dict], ddl: str) -> DataFrame:
+    """A small table made by the driver, as a plan without Python."""
+    text = json.dumps(rows)
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{ddl}>>")).alias("r")).select("r.*")
 
 
 def batches(rows, budget: int):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallybook.llm import common, exactdedup, langid, licenses, packing, quality, sharding, toxicity
+from tallybook.llm import common, exactdedup, langid, licenses, mixing, packing, quality, sharding, toxicity
 
 
 def op1_pack(spark, sf_dir):
@@ -62,10 +62,16 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM t WINDOW g AS (PARTITION BY s)
 """
 
+def op7_mix(spark, sf_dir):
+    """All documents in an order that follows tempered source weights at every place."""
+    docs = common.documents(spark, sf_dir).select("doc_id", "source")
+    return mixing.mixed(docs).select("row.doc_id", "source", "source_rank", "block", "phase", "slot", "position")
+
+
 def op9_license_scan(spark, sf_dir):
     """License phrases and fuzzy notices in all documents."""
     return licenses.scan(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_langid, op3_shard, op4_toxicity, op5_quality, op6_exact_dedup, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_langid, op3_shard, op4_toxicity, op5_quality, op6_exact_dedup, op7_mix, op9_license_scan)}
 ORACLE = {"op6_exact_dedup": OP6_SQL}

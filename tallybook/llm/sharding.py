@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import keep, number_rows, with_place
+from tallybook.llm.common import keep_placed, number_rows
 
 
 def rendezvous_score(key: Column, shard: int, weight: float) -> Column:
@@ -42,7 +42,7 @@ def shard_rows(df: DataFrame, weights: list[float], grown_weight: float = 1.0, *
     An empty table gives an empty result.
 
     The scan computes md5 scores and stores one narrow row per record; slots come
-    from counts per input split, so no shard and no key is gathered in one task.
+    from counts per input split, so no row is shuffled and no shard or key gathered in one task.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
@@ -53,7 +53,7 @@ def shard_rows(df: DataFrame, weights: list[float], grown_weight: float = 1.0, *
         F.lit("key").alias("law"),
         pick(key, weights).alias("shard"),
         pick(key, [*weights, grown_weight]).alias("grown_shard"))
-    kept = keep(with_place(rows), "shards")
+    kept = keep_placed(rows, ["shard"], "shards")
     return number_rows(kept, ["shard"], "slot").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
