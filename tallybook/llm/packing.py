@@ -15,7 +15,8 @@ from __future__ import annotations
 import operator
 import unicodedata
 import zlib
-from collections import ChainMap, deque
+from array import array
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,10 +71,10 @@ class Encoder:
         fresh = bare.difference(self.known)
         # a word of letters is one pre-token: the model alone gives its ids
         plain = {w for w in fresh if w.isalpha() and unicodedata.is_normalized("NFC", w)}
-        made = {}
+        made, tokenize = {}, self.model.tokenize
         for w in plain:
             byte_text = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARS)
-            made[w] = np.array([t.id for t in self.model.tokenize(byte_text)], dtype="<u4").tobytes()
+            made[w] = array("I", [t.id for t in tokenize(byte_text)]).tobytes()
         rest = list(fresh - plain)
         made.update(zip(rest, (np.array(e.ids, dtype="<u4").tobytes() for e in
                                self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
@@ -90,16 +91,15 @@ class Encoder:
         split = [(t if "\u03a3" in t or "<|" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
         known = self.known
         fresh = set().union(*split).difference(known)
-        if fresh:
-            made = self._learn(fresh)
-            if len(known) < REMEMBERED:
-                known.update((w, b) for w, b in made.items() if len(w) <= LONG_WORD)
-                if all(len(w) <= LONG_WORD for w in fresh):
-                    made = {}
-            if made:
-                known = ChainMap(made, known)
+        made = self._learn(fresh) if fresh else {}
+        known.update(made)
         get = known.__getitem__
-        return [b"".join(map(get, s)) + self.end for s in split]
+        out = [b"".join(map(get, s)) + self.end for s in split]
+        full = len(known) > REMEMBERED
+        for w in made:
+            if full or len(w) > LONG_WORD:
+                del known[w]
+        return out
 
 
 def cuts(places: list[int], costs: list[float], window: int) -> list[int]:
