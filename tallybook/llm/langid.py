@@ -40,9 +40,12 @@ def learn_sample(df: DataFrame, *, text_col: str, lang_col: str, rows: int, char
     picked = (df.filter(text.isNotNull() & F.col(lang_col).isNotNull() & (F.trim(text) != ""))
               .select(F.col(lang_col).alias("lang"), F.xxhash64(text).alias("h"),
                       F.substring(text, F.pmod(F.xxhash64(text, F.lit(1)), spans).cast("int") * chars + 1, F.lit(chars)).alias("passage")))
-    # Spark cuts a rank within a language to ``rows`` in each task before the shuffle
+    # of a language with many rows only hashes in a range that holds a few times ``rows`` are ranked
+    many = picked.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    place = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    near = picked.join(many, "lang").filter(place * F.col("n") <= 8 * rows).select("lang", "h", "passage").distinct()
     order = Window.partitionBy("lang").orderBy("h", "passage")
-    top = picked.distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows)
+    top = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows)
     found: dict[str, list[str]] = {}
     for r in top.orderBy("lang", "k").collect():
         found.setdefault(r["lang"], []).append(r["passage"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallybook.llm import common, exactdedup, langid, licenses, mixing, packing, quality, sharding, toxicity
+from tallybook.llm import common, exactdedup, langid, licenses, mixing, ngramjoin, packing, quality, sharding, toxicity
 
 
 def op1_pack(spark, sf_dir):
@@ -73,5 +73,10 @@ def op9_license_scan(spark, sf_dir):
     return licenses.scan(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_langid, op3_shard, op4_toxicity, op5_quality, op6_exact_dedup, op7_mix, op9_license_scan)}
+def op10_ngram_join(spark, sf_dir):
+    """Components of all documents linked by a Jaccard similarity of 0.9 or more of 3-word sets."""
+    return ngramjoin.linked(common.documents(spark, sf_dir), percent=90, k=3).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_langid, op3_shard, op4_toxicity, op5_quality, op6_exact_dedup, op7_mix, op9_license_scan, op10_ngram_join)}
 ORACLE = {"op6_exact_dedup": OP6_SQL}
