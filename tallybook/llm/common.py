@@ -42,7 +42,7 @@ def keep_placed(df: DataFrame, group: list[str], name: str) -> DataFrame:
     Each split is sorted by ``group`` first, so a group's rows of one split have
     consecutive places.  Later steps use the stored numbers, never a second evaluation.
     """
-    return keep(df.sortWithinPartitions(*group).withColumn("piece", F.spark_partition_id())
+    return keep((df.sortWithinPartitions(*group) if group else df).withColumn("piece", F.spark_partition_id())
                 .withColumn("place", F.monotonically_increasing_id()), name)
 
 

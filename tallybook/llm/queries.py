@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallybook.llm import common, exactdedup, langid, licenses, mixing, ngramjoin, packing, quality, sharding, toxicity
+from tallybook.llm import common, exactdedup, langid, licenses, linededup, mixing, ngramjoin, packing, quality, sharding, toxicity
 
 
 def op1_pack(spark, sf_dir):
@@ -68,6 +68,11 @@ def op7_mix(spark, sf_dir):
     return mixing.mixed(docs).select("row.doc_id", "source", "source_rank", "block", "phase", "slot", "position")
 
 
+def op8_line_dedup(spark, sf_dir):
+    """Every line of all documents with its component and whether it stays."""
+    return linededup.judged(linededup.place(common.documents(spark, sf_dir))).select("doc_id", "line_no", "line_id", "kept")
+
+
 def op9_license_scan(spark, sf_dir):
     """License phrases and fuzzy notices in all documents."""
     return licenses.scan(common.documents(spark, sf_dir))
@@ -78,5 +83,5 @@ def op10_ngram_join(spark, sf_dir):
     return ngramjoin.linked(common.documents(spark, sf_dir), percent=90, k=3).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_langid, op3_shard, op4_toxicity, op5_quality, op6_exact_dedup, op7_mix, op9_license_scan, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_langid, op3_shard, op4_toxicity, op5_quality, op6_exact_dedup, op7_mix, op8_line_dedup, op9_license_scan, op10_ngram_join)}
 ORACLE = {"op6_exact_dedup": OP6_SQL}
