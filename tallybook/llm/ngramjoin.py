@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from tallybook.llm.common import batches, keep, small_or_shuffled
+from tallybook.llm.common import batches, keep, keep_placed, small_or_shuffled
 from tallybook.llm.components import components
 
 CHUNK = 400_000
@@ -194,6 +194,14 @@ def linked(df: DataFrame, *, percent: int, k: int, id_col: str = "doc_id", text_
         F.when(F.col("n") > 0, F.col("_c")).otherwise(F.col("id")).alias("component_id"))
 
 
+def one_of_each(df: DataFrame, *, percent: int, k: int, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` with all columns, of each component the first in input order; texts without words all stay."""
+    placed = keep_placed(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text")), [], "near")
+    said = linked(placed.select("place", "text"), percent=percent, k=k, id_col="place")
+    gone = keep(said.filter("id <> component_id").select(F.col("id").alias("_gone")), "gone")
+    return placed.join(small_or_shuffled(gone), F.col("place") == F.col("_gone"), "left_anti").select("row.*")
+
+
 def postings(full: DataFrame, percent: int) -> DataFrame:
     """``g, gid, uid, n, own, i``: prefix grams of every set that can still link.
 

@@ -2,55 +2,45 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import functions as F
 
-from tallybook.llm import common, exactdedup, langid, licenses, linededup, mixing, ngramjoin, packing, quality, sharding, toxicity
+from tallybook.llm import exactdedup, langid, licenses, linededup, mixing, ngramjoin, packing, quality, sharding, toxicity
+from tallybook.llm.common import documents, id_mod
 
 
 def op1_pack(spark, sf_dir):
     """All documents packed into windows of 4096 tokens."""
-    return packing.pack(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2,
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2,
                         with_ids=False)
 
 
-def id_mod(k: int):
-    """crc32 of the id's text, modulo ``k``."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(k))
-
-
 def op2_langid(spark, sf_dir):
     """Language of all documents, learned from rows outside the held-out quarter."""
-    said = langid.learn_and_identify(common.documents(spark, sf_dir), id_mod(4) == 2)
+    said = langid.learn_and_identify(documents(spark, sf_dir), id_mod(4) == 2)
     return said.select("doc_id", (id_mod(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op3_shard(spark, sf_dir):
     """All documents in 16 equal shards by rendezvous hashing of doc_id."""
-    return sharding.shard_rows(common.documents(spark, sf_dir), [1.0] * 16)
-
-
-def toxicity_net(docs, sf_dir):
-    """Learned from labelled rows whose id's crc32 is not 1 modulo 3."""
-    labels = docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.learn(docs.filter(id_mod(3) != 1), labels)
+    return sharding.shard_rows(documents(spark, sf_dir), [1.0] * 16)
 
 
 def op4_toxicity(spark, sf_dir):
     """Toxicity of all documents, learned from labelled rows outside the held-out third."""
-    docs = common.documents(spark, sf_dir)
-    said = toxicity.score(docs, toxicity_net(docs, sf_dir))
+    docs = documents(spark, sf_dir)
+    said = toxicity.score(docs, toxicity.learn_outside(docs, sf_dir, id_mod(3) == 1))
     return said.select("doc_id", (id_mod(3) == 1).alias("held_out"), "score", "predicted")
 
 
 def op5_quality(spark, sf_dir):
     """Quality verdicts of all documents by weak supervision."""
-    return quality.judge(common.documents(spark, sf_dir))
+    return quality.judge(documents(spark, sf_dir))
 
 
 def op6_exact_dedup(spark, sf_dir):
     """Exact groups of all documents by verified chunk recipes."""
-    return exactdedup.exact_groups(common.documents(spark, sf_dir))
+    return exactdedup.exact_groups(documents(spark, sf_dir))
 
 
 OP6_SQL = """
@@ -64,24 +54,30 @@ FROM t WINDOW g AS (PARTITION BY s)
 
 def op7_mix(spark, sf_dir):
     """All documents in an order that follows tempered source weights at every place."""
-    docs = common.documents(spark, sf_dir).select("doc_id", "source")
+    docs = documents(spark, sf_dir).select("doc_id", "source")
     return mixing.mixed(docs).select("row.doc_id", "source", "source_rank", "block", "phase", "slot", "position")
 
 
 def op8_line_dedup(spark, sf_dir):
     """Every line of all documents with its component and whether it stays."""
-    return linededup.judged(linededup.place(common.documents(spark, sf_dir))).select("doc_id", "line_no", "line_id", "kept")
+    return linededup.judged(linededup.place(documents(spark, sf_dir))).select("doc_id", "line_no", "line_id", "kept")
 
 
 def op9_license_scan(spark, sf_dir):
     """License phrases and fuzzy notices in all documents."""
-    return licenses.scan(common.documents(spark, sf_dir))
+    return licenses.scan(documents(spark, sf_dir))
 
 
 def op10_ngram_join(spark, sf_dir):
     """Components of all documents linked by a Jaccard similarity of 0.9 or more of 3-word sets."""
-    return ngramjoin.linked(common.documents(spark, sf_dir), percent=90, k=3).withColumnRenamed("id", "doc_id")
+    return ngramjoin.linked(documents(spark, sf_dir), percent=90, k=3).withColumnRenamed("id", "doc_id")
+
+
+def pipeline(spark, sf_dir):
+    """The corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_langid, op3_shard, op4_toxicity, op5_quality, op6_exact_dedup, op7_mix, op8_line_dedup, op9_license_scan, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_langid, op3_shard, op4_toxicity, op5_quality, op6_exact_dedup, op7_mix, op8_line_dedup, op9_license_scan, op10_ngram_join,
+                                 pipeline)}
 ORACLE = {"op6_exact_dedup": OP6_SQL}
