@@ -90,10 +90,10 @@ class Alphabet:
 
 
 def automaton(codes: list[int], alphabet: int) -> np.ndarray:
-    """Dense suffix automaton with restarts: step[state * alphabet + code] = 2 * next * alphabet + phrase_end.
+    """Dense suffix automaton with restarts: step[state * alphabet + code] = 2 * next * alphabet + phrase_start.
 
-    Where a state has no edge the phrase ends and the code opens the next phrase at the
-    root's edge (or is a phrase of its own when the sample lacks it).
+    Where a state has no edge a phrase begins with this code, at the root's edge.  The last state,
+    where parsing starts, has no edge at all; a code that the sample lacks leads there, a phrase of its own.
     """
     edge: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
@@ -121,10 +121,10 @@ def automaton(codes: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    root = np.zeros(alphabet, dtype=np.int32)
+    root = np.full(alphabet, len(edge), dtype=np.int32)
     for c, to in edge[0].items():
         root[c] = to
-    step = np.tile((root * (2 * alphabet) + 1).astype(np.int32), len(edge))
+    step = np.tile((root * (2 * alphabet) + 1).astype(np.int32), len(edge) + 1)
     where = np.array([s * alphabet + c for s, e in enumerate(edge) for c in e], dtype=np.int64)
     to = np.array([t for e in edge for t in e.values()], dtype=np.int32)
     step[where] = to * (2 * alphabet)
@@ -162,8 +162,8 @@ class Model:
         owner = np.repeat(np.arange(len(texts)), blocks)[order]
         out = np.zeros((len(texts), len(self.langs)))
         for k, step in enumerate(self.steps):
-            state = np.zeros(len(fill), dtype=np.int32)
-            phrases = np.ones(len(fill), dtype=np.int32)
+            state = np.full(len(fill), len(step) - self.alphabet.size, dtype=np.int32)
+            phrases = np.zeros(len(fill), dtype=np.int32)
             for j in range(BLOCK):
                 n = live[j]
                 if not n:
