@@ -1,19 +1,22 @@
-"""Recursive character splitting (D3), written from the published algorithm of
-the widely used recursive character text splitter: try separators in order
-(blank line, newline, blank, then single characters), split on the first
-one present keeping the separator at the start of the following piece,
-merge pieces up to ``chunk_size`` characters carrying up to
-``chunk_overlap`` characters into the next chunk, and split oversize pieces
-again with the remaining separators.  Chunks are stripped of outer
-whitespace; empty chunks are dropped.
+"""Recursive character splitting (D3).
 
-This is a per-document helper; Spark applies it to each document in Arrow
-batches (:func:`tallybook.operators.docs.chunk_text`).
+The rule: a text is marked at the first of the separators (blank line, line
+feed, blank, every character) that it holds, each mark before its separator.  Neighbouring
+pieces form windows of at most ``size`` characters; the next window
+starts at the first mark that keeps at most ``overlap`` characters of the last
+one and leaves room for the following piece.  A piece of ``size`` or more is marked again
+by the later separators.  Outer blanks of a chunk go, and so do empty chunks.
+
+Everything is a span (start, end) of the text; windows are found by binary search on the
+marks.  Spark applies this helper per document in Arrow batches
+(:func:`tallybook.operators.docs.chunk_text`).
 """
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import pairwise
 
 # Fixed values of the reference's splitter.
 CHUNK_SIZE = 1000
@@ -21,73 +24,57 @@ CHUNK_OVERLAP = 200
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
-def _split_keep(text: str, sep: str) -> list[str]:
-    if not sep:
-        return [c for c in text]
-    parts = re.split(f"({re.escape(sep)})", text)
-    out = [parts[0]] + [parts[i] + parts[i + 1] for i in range(1, len(parts) - 1, 2)]
-    if len(parts) % 2 == 0:
-        out.append(parts[-1])
-    return [p for p in out if p != ""]
+Span = tuple[int, int]
 
 
-def _join(docs: list[str], sep: str) -> str | None:
-    t = sep.join(docs).strip()
-    return t or None
+def marks(text: str, span: Span, sep: str) -> list[int]:
+    """Both ends of the span and the place of each ``sep`` inside it (every place for an empty one)."""
+    lo, hi = span
+    if not sep:
+        return list(range(lo, hi + 1))
+    places = [lo]
+    at = text.find(sep, lo, hi)
+    while at >= 0:
+        if at > lo:
+            places.append(at)
+        at = text.find(sep, at + len(sep), hi)
+    return [*places, hi]
 
 
-def _merge(splits: list[str], sep: str, size: int, overlap: int) -> list[str]:
-    sep_len = len(sep)
-    docs: list[str] = []
-    cur: list[str] = []
-    total = 0
-    for d in splits:
-        n = len(d)
-        if total + n + (sep_len if cur else 0) > size:
-            if cur:
-                doc = _join(cur, sep)
-                if doc is not None:
-                    docs.append(doc)
-                while total > overlap or (total + n + (sep_len if cur else 0) > size and total > 0):
-                    total -= len(cur[0]) + (sep_len if len(cur) > 1 else 0)
-                    cur = cur[1:]
-        cur.append(d)
-        total += n + (sep_len if len(cur) > 1 else 0)
-    doc = _join(cur, sep)
-    if doc is not None:
-        docs.append(doc)
-    return docs
+def windows(at: list[int], size: int, overlap: int) -> Iterator[Span]:
+    """Windows over the marks ``at``, whose gaps are all below ``size``."""
+    first, last = 0, len(at) - 1
+    while True:
+        end = bisect_right(at, at[first] + size) - 1
+        if end >= last:
+            yield at[first], at[last]
+            return
+        yield at[first], at[end]
+        # the earliest start that neither repeats too much nor crowds out the next piece
+        first = min(end, max(bisect_left(at, at[end] - overlap), bisect_left(at, at[end + 1] - size)))
 
 
-def _split(text: str, seps: tuple[str, ...], size: int, overlap: int) -> list[str]:
-    sep, rest = seps[-1], ()
-    for i, s in enumerate(seps):
-        if s == "":
-            sep = s
-            break
-        if s in text:
-            sep, rest = s, seps[i + 1:]
-            break
-    out: list[str] = []
-    good: list[str] = []
-    for piece in _split_keep(text, sep):
-        if len(piece) < size:
-            good.append(piece)
+def spans(text: str, span: Span, separators: tuple[str, ...], size: int, overlap: int) -> Iterator[Span]:
+    held = [k for k, s in enumerate(separators) if not s or text.find(s, *span) >= 0]
+    level = held[0] if held else len(separators) - 1
+    run = [span[0]]
+    for left, right in pairwise(marks(text, span, separators[level])):
+        if right - left < size:
+            run.append(right)
             continue
-        if good:
-            out.extend(_merge(good, "", size, overlap))
-            good = []
-        if rest:
-            out.extend(_split(piece, rest, size, overlap))
-        else:
-            out.append(piece)
-    if good:
-        out.extend(_merge(good, "", size, overlap))
-    return out
+        if len(run) > 1:
+            yield from windows(run, size, overlap)
+        finer = separators[level + 1:]
+        yield from spans(text, (left, right), finer, size, overlap) if held and finer else [(left, right)]
+        run = [right]
+    if len(run) > 1:
+        yield from windows(run, size, overlap)
 
 
 def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     if overlap > size:
         raise ValueError("overlap larger than chunk size")
-    return _split(text or "", tuple(separators), size, overlap)
+    text = text or ""
+    chunks = (text[a:b].strip() for a, b in spans(text, (0, len(text)), tuple(separators), size, overlap))
+    return [c for c in chunks if c]

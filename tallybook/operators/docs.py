@@ -68,11 +68,12 @@ def _chunker(size: int, overlap: int):
 def chunk_text(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_SIZE,
                overlap: int = CHUNK_OVERLAP, threshold: int = THRESHOLD) -> DataFrame:
     """D3: ``(key, chunk_idx, chunk)``: documents over the threshold are joined
-    and split; others keep their sections as they are."""
+    and split; others keep their sections as they are.  Only the long ones
+    reach the Python splitter; no text is shuffled."""
     g = gate(df.select(key, text), text, threshold)
-    g = g.repartition(key)
-    pieces = F.when(F.col("split"), _chunker(size, overlap)(F.col("joined"))).otherwise(F.col("sections"))
-    return g.select(key, F.posexplode(pieces).alias("chunk_idx", "chunk"))
+    long = g.filter(F.coalesce("split", F.lit(False))).select(key, _chunker(size, overlap)(F.col("joined")).alias("pieces"))
+    short = g.filter(~F.coalesce("split", F.lit(False))).select(key, F.col("sections").alias("pieces"))
+    return long.unionByName(short).select(key, F.posexplode("pieces").alias("chunk_idx", "chunk"))
 
 
 def markdown_lines(grid: DataFrame) -> DataFrame:
