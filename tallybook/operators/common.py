@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybook.session import store
+
 
 def first_k(df: DataFrame, keys: list[str], order_col: str, k: int, *,
             descending: bool = False, tie: list[str] | None = None,
@@ -41,18 +43,24 @@ def ordered_rank(df: DataFrame, keys: list[str], order: list[str], rank_col: str
 
     A plain ``row_number()`` window sorts a whole key in one task, so a key
     holding a third of the rows stalls on one executor.  Here the rows are
-    range-partitioned on ``keys + order`` (sampled boundaries split a hot key
-    across many partitions), ranked inside each (partition, key) piece, and
-    shifted by the row counts of the same key in earlier partitions (a small
-    per-(key, partition) table).
+    range-partitioned and sorted on ``keys + order`` (sampled boundaries split a
+    hot key across many partitions) and stored once with their partition
+    and running number; ranks come from the stored numbers and the row
+    counts of the same key in earlier partitions (a row per key and
+    partition).  Only the stored assignment is read afterwards: a second
+    evaluation could sample other boundaries.  A NULL key is a key like others.
     """
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *keys, *order).withColumn("_or_pid", F.spark_partition_id())
-    local = Window.partitionBy("_or_pid", *keys).orderBy(*order)
-    r = r.withColumn("_or_local", F.row_number().over(local))
-    counts = r.groupBy(*keys, "_or_pid").agg(F.count(F.lit(1)).alias("_or_n"))
+    r = store(df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+                .withColumn("_or_pid", F.spark_partition_id())
+                .withColumn("_or_place", F.monotonically_increasing_id()), "ordered-rank")
+    counts = r.groupBy(*keys, "_or_pid").agg(F.count(F.lit(1)).alias("_or_n"), F.min("_or_place").alias("_or_first"))
     before = Window.partitionBy(*keys).orderBy("_or_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_or_pid", F.coalesce(F.sum("_or_n").over(before), F.lit(0)).alias("_or_off"))
-    return (r.join(offsets, [*keys, "_or_pid"], "inner")
-             .withColumn(rank_col, (F.col("_or_off") + F.col("_or_local")).cast("long"))
-             .drop("_or_pid", "_or_local", "_or_off"))
+    at = counts.select(*[F.col(k).alias(f"_or_k_{k}") for k in keys], F.col("_or_pid").alias("_or_p"),
+                       (F.coalesce(F.sum("_or_n").over(before), F.lit(0)) - F.col("_or_first") + 1).alias("_or_shift"))
+    same = F.col("_or_pid") == F.col("_or_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_or_k_{k}"))
+    return (r.join(at, same, "inner")
+             .withColumn(rank_col, (F.col("_or_place") + F.col("_or_shift")).cast("long"))
+             .drop("_or_pid", "_or_place", "_or_shift", "_or_p", *[f"_or_k_{k}" for k in keys]))

@@ -73,13 +73,19 @@ def quota_reset(calls: DataFrame, users: DataFrame, order=("ts", "event_id")) ->
     return _decide(user_plan(ranked, users).withColumn("usage0", F.lit(0)))
 
 
-def usage_increment(users: DataFrame, gated: DataFrame) -> DataFrame:
-    """A4: usage after a batch of calls: stored usage + allowed calls."""
-    n = gated.groupBy("user_id").agg(F.count(F.when(F.col("allowed"), 1)).alias("_n"))
-    u = users.join(n, users.id == n.user_id, "left")
-    return u.select("id", "plan", "plan_limit",
-                    (F.coalesce("usage_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("int")
-                    .alias("usage_count"))
+def usage_increment(users: DataFrame, calls: DataFrame) -> DataFrame:
+    """A4: usage after a batch of calls: stored usage + allowed calls.
+
+    Of a user's n calls the gate allows what is left of the limit, so counts
+    suffice: one aggregate, no ranking.
+    """
+    n = calls.groupBy(F.col("user_id").alias("_user")).agg(F.count(F.lit(1)).alias("_n"))
+    used, lim = F.coalesce("usage_count", F.lit(0)), F.col("plan_limit")
+    unlimited = F.coalesce(F.col("plan") == UNLIMITED_PLAN, F.lit(False)) | lim.isNull() | (lim == 0)
+    n_calls = F.coalesce("_n", F.lit(0))
+    allowed = F.when(unlimited, n_calls).otherwise(F.least(n_calls, F.greatest(lim - used, F.lit(0))))
+    return users.join(n, F.col("id") == F.col("_user"), "left").select(
+        "id", "plan", "plan_limit", (used + allowed).cast("int").alias("usage_count"))
 
 
 def usage_report(users: DataFrame) -> DataFrame:

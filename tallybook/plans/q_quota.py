@@ -66,7 +66,7 @@ FROM users u LEFT JOIN (SELECT user_id, COUNT(CASE WHEN allowed THEN 1 END) AS n
 def usage_increment(spark, sf_dir):
     """A4: stored usage plus the allowed calls of the batch."""
     c, u = _calls_users(spark, sf_dir)
-    return Q.usage_increment(u, Q.quota_gate(c, u))
+    return Q.usage_increment(u, c)
 
 
 @register("usage_pct", _INCREMENT.replace(
@@ -76,7 +76,7 @@ def usage_increment(spark, sf_dir):
 def usage_pct(spark, sf_dir):
     """Usage bar percent after the batch."""
     c, u = _calls_users(spark, sf_dir)
-    return Q.usage_report(Q.usage_increment(u, Q.quota_gate(c, u)))
+    return Q.usage_report(Q.usage_increment(u, c))
 
 
 @register("user_ensure", with_ledgers("""SELECT id, plan, plan_limit, CAST(usage_count AS INTEGER) AS usage_count

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,39 +29,36 @@ SCALE_CONF = {
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app: str = "tallybook") -> SparkSession:
-    """Session for tests and the bench; on a cluster, use the cluster's
-    own session and call :func:`apply_scale_conf` on it."""
+    """Local session for tests and the bench; a cluster brings its own.
+
+    The package's folder is put on the Python workers' path; on a cluster install the
+    package (``pyproject.toml``) or ship it with ``--py-files``.  The checkpoint folder is
+    set here only when neither the environment's Spark defaults nor a running session name one.
+    """
     builder = SparkSession.builder.master(master).appName(app)
     for key, value in SCALE_CONF.items():
         builder = builder.config(key, value)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", os.environ.get("TALLYBOOK_DRIVER_MEM", "16g"))
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    builder = builder.config("spark.executorEnv.PYTHONPATH", root)
     spark = builder.getOrCreate()
+    if not spark.conf.get(CHECKPOINT_CONF, None):
+        spark.stop()
+        spark = builder.config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="tallybook-local-")).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def apply_scale_conf(spark: SparkSession) -> None:
-    for key, value in SCALE_CONF.items():
-        if key.startswith("spark.ui."):
-            continue  # static; set at launch
-        spark.conf.set(key, value)
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting must be given (a shared file system or object
-    store).  Only a local-mode session without it gets a scratch folder,
-    as in tests.
+    The setting is static and must be given when the session is built: on a
+    cluster by the cluster, in tests by :func:`build_session`.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
-            raise RuntimeError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
-        path = tempfile.mkdtemp(prefix="tallybook-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, path)
+        raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -70,3 +68,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read back.
+
+    Unlike a checkpoint it keeps columnar pruning and filters; the files stay
+    until the shared folder is cleared.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/tallybook/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
