@@ -1,56 +1,150 @@
 """Free SQL over one tenant's ledgers (Q1-Q3).
 
 The reference lets a model write SQL and only asks it, in the prompt, to
-filter by user (B11).  Here the SQL runs in a separate session whose temp
-views are the ledgers already filtered to the tenant, so no text can reach
-another user's rows; only a query (SELECT / WITH) is accepted, and an error
-becomes a one-row ``error`` result, as in the reference.
+filter by user (B11).  Here the text is parsed before it runs: only a query
+whose relations are the tenant's views, its own CTEs or a few harmless table
+functions is accepted, in a session of its own where no file can be named in
+FROM.  An error, at analysis or at run time, becomes a one-row ``error``
+result, as in the reference.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.errors import AnalysisException, ParseException
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook import schemas as S
+from tallybook.session import SCALE_CONF, cut_lineage
 
 QUERY_TABLES = ("projects", "labor_costs", "material_costs", "payment_milestones")
-_QUERY = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
+NOT_A_QUERY = "only SELECT or WITH queries are run"
+
+# The meanings that the reference's prompt gives to columns, and its relations.
+MEANINGS = {
+    "projects": {"": "โครงการก่อสร้าง", "name": "ชื่อโครงการ", "client_name": "ชื่อลูกค้า", "contract_value": "มูลค่าสัญญา",
+                 "status": "'active'|'completed'|'pending'"},
+    "labor_costs": {"": "ค่าแรงช่าง", "worker_name": "ชื่อช่าง", "worker_type": "ประเภทช่าง", "work_days": "วันทำงาน",
+                    "daily_rate": "ค่าแรง/วัน", "total_amount": "ยอดรวม", "paid_amount": "จ่ายแล้ว"},
+    "material_costs": {"": "ค่าวัสดุ", "item_name": "ชื่อวัสดุ", "quantity": "จำนวน", "unit": "หน่วย", "unit_price": "ราคา/หน่วย",
+                       "total_amount": "ยอดรวม", "supplier": "ร้านที่ซื้อ"},
+    "payment_milestones": {"": "งวดงาน / รายรับ", "milestone_name": "ชื่องวด", "amount": "มูลค่างวด", "due_date": "กำหนดเก็บเงิน",
+                           "received_date": "วันที่รับเงินจริง", "status": "'pending'|'received'"},
+}
+RELATIONS = {t: f"{t}.project_id = projects.id" for t in QUERY_TABLES[1:]}
+
+# What a tenant's text may call and name besides views and CTEs.
+TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack"}
+BARRED_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
+_LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
+_ACTIONS = ("Command", "ParsedStatement", "InsertIntoDir")
 
 
 def schema_text(spark: SparkSession) -> DataFrame:
-    """Q1: ``(table_name, column_name, data_type, position)`` of the queryable tables."""
-    rows = [(t, f.name, f.dataType.simpleString(), i)
-            for t in QUERY_TABLES for i, f in enumerate(S.LEDGERS[t].fields)]
-    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, position int")
+    """Q1: ``(table_name, column_name, data_type, position, meaning, relation)`` of
+    the queryable tables; a table's own meaning is its row with an empty column name."""
+    rows = []
+    for t in QUERY_TABLES:
+        rows.append((t, "", None, -1, MEANINGS[t][""], RELATIONS.get(t)))
+        rows += [(t, f.name, f.dataType.simpleString(), i, MEANINGS[t].get(f.name),
+                  RELATIONS.get(t) if f.name == "project_id" else None) for i, f in enumerate(S.LEDGERS[t].fields)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, position int, "
+                                       "meaning string, relation string")
+
+
+def schema_prompt(spark: SparkSession) -> str:
+    """The rows of :func:`schema_text` as the text block of the prompt."""
+    lines = []
+    for r in sorted(schema_text(spark).collect(), key=lambda r: (QUERY_TABLES.index(r.table_name), r.position)):
+        note = f" ({r.meaning})" if r.meaning else ""
+        lines.append(f"{r.table_name}{note}" if r.position < 0 else f"  {r.column_name} {r.data_type}{note}")
+    return "\n".join([*lines, *(f"Relation: {v}" for v in RELATIONS.values())])
 
 
 def tenant_views(views: dict[str, DataFrame], user_id) -> dict[str, DataFrame]:
-    """Q2: every ledger limited to one user (None: all users, for admin jobs)."""
+    """Q2: every ledger limited to one user (None: all users, for admin jobs).
+
+    ``user_id`` may be a column of each view, as in a job over all tenants at once.
+    """
     if user_id is None:
         return dict(views)
     return {n: df.filter(F.col("user_id") == F.lit(str(user_id))) for n, df in views.items()}
 
 
+def visible_rows(views: dict[str, DataFrame]) -> DataFrame:
+    """``(user_id, table_name, n_rows)``: what each tenant's views hold, for all tenants in one pass."""
+    counts = [df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"))
+                .select("user_id", F.lit(name).alias("table_name"), "n_rows") for name, df in views.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out.filter(F.col("user_id").isNotNull())
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _nodes(plan) -> Iterator:
+    """A parsed plan's nodes, those of CTEs and subqueries included."""
+    yield plan
+    for group in (plan.children(), plan.innerChildren(), plan.subqueries()):
+        for child in _items(group):
+            if hasattr(child, "subqueries"):
+                yield from _nodes(child)
+
+
+def refusal(session: SparkSession, sql: str, views) -> str | None:
+    """Why ``sql`` may not run over ``views``; None when it may."""
+    jvm = session.sparkContext._jvm
+    plan = session._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    actions = [jvm.java.lang.Class.forName(_LOGICAL + a) for a in _ACTIONS]
+    nodes = list(_nodes(plan))
+    names = {v.lower() for v in views}
+    for n in nodes:
+        if n.getClass().getSimpleName() == "UnresolvedWith":
+            names |= {c._1().lower() for c in _items(n.cteRelations())}
+    for n in nodes:
+        kind = n.getClass().getSimpleName()
+        if any(a.isInstance(n) for a in actions):
+            return NOT_A_QUERY
+        if kind == "UnresolvedRelation":
+            parts = _items(n.multipartIdentifier())
+            if len(parts) != 1 or parts[0].lower() not in names:
+                return f"table {'.'.join(parts)} is not one of {', '.join(sorted(views))}"
+        if kind == "UnresolvedTableValuedFunction" and ".".join(_items(n.name())).lower() not in TABLE_FUNCTIONS:
+            return "this table function is not allowed"
+        if kind.startswith("Relation") and "Unresolved" in kind and kind != "UnresolvedRelation":
+            return NOT_A_QUERY
+        text = n.expressions().toString().lower()
+        if any(f"'{f}(" in text or f"{f}(" in text for f in BARRED_FUNCTIONS):
+            return "this function is not allowed"
+    return None
+
+
 def _error(spark: SparkSession, msg: str) -> DataFrame:
     return spark.createDataFrame([(msg,)], "error string")
 
 
 def run_sql(spark: SparkSession, sql: str, build_views: Callable[[SparkSession], dict[str, DataFrame]],
             user_id=None) -> DataFrame:
-    """Q3: run ``sql`` against the tenant's views; errors become one ``error`` row."""
-    if not _QUERY.match(sql or ""):
-        return _error(spark, "only SELECT or WITH queries are run")
+    """Q3: run ``sql`` against the tenant's views; errors become one ``error`` row.
+
+    The result is computed here, into a reliable checkpoint, so that an error of the run itself is caught too.
+    """
     session = spark.newSession()
-    for name, df in tenant_views(build_views(session), user_id).items():
+    for key, value in SCALE_CONF.items():
+        if not key.startswith("spark.ui."):
+            session.conf.set(key, value)
+    session.conf.set("spark.sql.runSQLOnFiles", "false")
+    views = tenant_views(build_views(session), user_id)
+    for name, df in views.items():
         df.createOrReplaceTempView(name)
     try:
-        out = session.sql(sql)
-        out.schema  # analyse now so errors surface here
-        return out
-    except (AnalysisException, ParseException) as e:
+        why = refusal(session, sql or "", views)
+        return _error(session, why) if why else cut_lineage(session.sql(sql))
+    except (PySparkException, Py4JError) as e:
         return _error(session, str(e).split("\n")[0])

@@ -169,13 +169,26 @@ def run_sql(spark, sf_dir):
     return FS.run_sql(spark, FREE_SQL, _views(sf_dir))
 
 
-@register("tenant_views", with_ledgers("""SELECT p.user_id, COUNT(*) AS n_rows
-FROM projects p JOIN labor_costs l ON l.project_id = p.id AND l.user_id = p.user_id
-GROUP BY p.user_id""", "projects", "labor_costs"))
+@register("tenant_views", with_ledgers("""SELECT user_id, 'projects' AS table_name, COUNT(*) AS n_rows
+FROM projects WHERE user_id IS NOT NULL GROUP BY 1
+UNION ALL SELECT user_id, 'labor_costs', COUNT(*) FROM labor_costs WHERE user_id IS NOT NULL GROUP BY 1
+UNION ALL SELECT user_id, 'material_costs', COUNT(*) FROM material_costs WHERE user_id IS NOT NULL GROUP BY 1
+UNION ALL SELECT user_id, 'payment_milestones', COUNT(*) FROM payment_milestones WHERE user_id IS NOT NULL GROUP BY 1""",
+                                       "projects", "labor_costs", "material_costs", "payment_milestones"))
 def tenant_views(spark, sf_dir):
-    """Q2: labour rows each tenant sees through its own views (child rows must
-    carry the project owner's user id, B11)."""
-    p, lab = fx.projects(spark, sf_dir), fx.labor_costs(spark, sf_dir)
-    j = lab.join(p.select(F.col("id").alias("project_id"), F.col("user_id").alias("owner")), "project_id")
-    return j.filter(F.col("user_id") == F.col("owner")).groupBy(F.col("owner").alias("user_id")) \
-            .agg(F.count(F.lit(1)).alias("n_rows"))
+    """Q2: rows of each ledger that each tenant's views hold."""
+    return FS.visible_rows(FS.tenant_views(_views(sf_dir)(spark), None))
+
+
+TENANT_SQL = """SELECT p.id, p.name, COUNT(l.project_id) AS n_labor FROM projects p
+LEFT JOIN labor_costs l ON l.project_id = p.id GROUP BY p.id, p.name"""
+TENANT = "1"
+
+
+@register("tenant_sql", with_ledgers("SELECT p.id, p.name, COUNT(l.project_id) AS n_labor "
+                                     f"FROM (SELECT * FROM projects WHERE user_id = '{TENANT}') p "
+                                     f"LEFT JOIN (SELECT * FROM labor_costs WHERE user_id = '{TENANT}') l "
+                                     "ON l.project_id = p.id GROUP BY p.id, p.name", "projects", "labor_costs"))
+def tenant_sql(spark, sf_dir):
+    """Q2 + Q3: one tenant's free SQL, which names no user, over that tenant's views."""
+    return FS.run_sql(spark, TENANT_SQL, _views(sf_dir), user_id=TENANT)

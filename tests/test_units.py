@@ -179,6 +179,19 @@ def test_first_k_and_ordered_rank_skewed(spark):
     assert bad == 0 and ranked.count() == 5007
 
 
+def test_ordered_rank_many_partitions_and_columns(spark):
+    """Ranks stay exact with payload columns and far more rows than a boundary sample holds."""
+    n = 1_500_000
+    df = (spark.range(0, n, 1, 24).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise((F.col("id") % 3).cast("string")).alias("k"),
+                                          F.xxhash64("id").alias("o"), F.col("id"), F.concat(F.lit("question "), "id").alias("q")))
+    got = CM.ordered_rank(df, ["k"], ["o", "id"], num_partitions=40)
+    per = {r.k: (r.n, r.d, r.lo, r.hi) for r in got.groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("rn").alias("d"),
+                                                                     F.min("rn").alias("lo"), F.max("rn").alias("hi")).collect()}
+    assert per == {k: (n // 3, n // 3, 1, n // 3) for k in (None, "1", "2")}
+    sample = got.filter("k = '1'").orderBy("o").limit(2000).collect()
+    assert [r.rn for r in sample] == list(range(1, 2001))
+
+
 def test_quota_rule(spark):
     users = spark.createDataFrame([("a", "starter", 2, 0), ("b", "pro", 1, 5), ("c", "starter", None, 0),
                                    ("d", "starter", 0, 9), ("e", "starter", 3, 3)],
@@ -189,7 +202,7 @@ def test_quota_rule(spark):
     got = {r.event_id: (r.allowed, r.message) for r in Q.quota_gate(calls, users).collect()}
     assert [got[i][0] for i in range(9)] == [True, True, False, True, True, True, True, False, True]
     assert got[2][1] == "ใช้ครบโควต้าแล้ว (2/2 คำถาม) กรุณาอัปเกรดแพ็กเกจ"
-    inc = {r.id: r.usage_count for r in Q.usage_increment(users, Q.quota_gate(calls, users)).collect()}
+    inc = {r.id: r.usage_count for r in Q.usage_increment(users, calls).collect()}
     assert inc["a"] == 2 and inc["e"] == 3
     ens = {r.id: (r.plan, r.plan_limit) for r in Q.user_ensure(users, calls).collect()}
     assert ens["z"] == ("starter", 100)
@@ -235,6 +248,16 @@ def test_chunk_laws(n):
         assert shared <= CH.CHUNK_OVERLAP
 
 
+@pytest.mark.parametrize("text,size,overlap,want", [
+    ("", 10, 2, []), ("  \n\n ", 10, 2, []), ("one two", 10, 2, ["one two"]),
+    ("one two three four", 10, 4, ["one two", "two three", "four"]), ("one two three four", 9, 4, ["one two", "three", "four"]),
+    ("aaaa\n\nbbbb\n\ncccc", 12, 0, ["aaaa\n\nbbbb", "cccc"]),
+    ("abcdefghij", 4, 1, ["abcd", "defg", "ghij"]),
+    ("first line\nsecond line\n\nthird", 12, 3, ["first line", "second line", "third"])])
+def test_chunk_cases(text, size, overlap, want):
+    assert CH.split_text(text, size, overlap) == want
+
+
 def test_doc_type_and_gate(spark):
     df = spark.createDataFrame([("a/b/Report.PDF",), ("x.docx",), ("img.jpeg",), ("s.xlsx",), (".bashrc",),
                                 ("noext",), ("a.b/c",)], "p string")
@@ -264,6 +287,29 @@ def test_run_sql_guard_and_tenant(spark):
     assert FS.run_sql(spark, "SELECT id FROM projects", views, user_id="u1").count() == 1
     assert FS.run_sql(spark, "DROP TABLE projects", views).columns == ["error"]
     assert FS.run_sql(spark, "SELECT nope FROM projects", views).columns == ["error"]
+    assert FS.run_sql(spark, "with p as (select * from projects) select (select max(id) from p) m, id, id from p", views, user_id="u1").count() == 1
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT * FROM parquet.`/root/testdata/sf0.001/orders.parquet`",
+    "SELECT * FROM projects WHERE id IN (SELECT id FROM json.`/tmp/x`)",
+    "WITH t AS (SELECT * FROM parquet.`/root/testdata/sf0.001/orders.parquet`) SELECT * FROM t",
+    "WITH t AS (SELECT * FROM projects) INSERT OVERWRITE DIRECTORY '/tmp/never-written' USING parquet SELECT * FROM t",
+    "INSERT INTO projects VALUES ('x', 'y')", "SELECT * FROM default.projects", "SELECT * FROM elsewhere", "SHOW TABLES",
+    "SELECT reflect('java.lang.System', 'getenv')", "SELECT java_method('java.lang.System', 'getenv') FROM projects",
+    "SELECT 1/0", "SELECT CAST(id AS INT) FROM projects", "SELEKT 1", "", "SELECT 1; DROP TABLE projects", "CACHE TABLE projects"])
+def test_run_sql_refuses(spark, sql):
+    views = lambda s: {"projects": s.createDataFrame([("p1", "u1"), ("p2", "u2")], "id string, user_id string")}
+    out = FS.run_sql(spark, sql, views, user_id="u1")
+    assert out.columns == ["error"] and out.count() == 1
+    assert not os.path.exists("/tmp/never-written")
+
+
+def test_schema_text(spark):
+    rows = FS.schema_text(spark).collect()
+    assert {r.table_name for r in rows} == set(FS.QUERY_TABLES)
+    assert [r.meaning for r in rows if (r.table_name, r.column_name) == ("labor_costs", "worker_name")] == ["ชื่อช่าง"]
+    assert "Relation: labor_costs.project_id = projects.id" in FS.schema_prompt(spark)
 
 
 def test_store_create_and_idempotent_append(spark):
