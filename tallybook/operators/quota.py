@@ -49,7 +49,8 @@ def user_plan(calls: DataFrame, users: DataFrame) -> DataFrame:
                      .cast("int").alias("usage0"))
 
 
-def _decide(planned: DataFrame) -> DataFrame:
+def decide(planned: DataFrame) -> DataFrame:
+    """``allowed`` and the refusal ``message`` of calls with ``rn``, plan, limit and stored usage."""
     lim = F.col("plan_limit")
     unlimited = (F.col("plan") == UNLIMITED_PLAN) | lim.isNull() | (lim == 0)
     allowed = unlimited | (F.col("usage0") + F.col("rn") - 1 < lim)
@@ -62,7 +63,7 @@ def _decide(planned: DataFrame) -> DataFrame:
 def quota_gate(calls: DataFrame, users: DataFrame, order=("ts", "event_id")) -> DataFrame:
     """allow/refuse every call ``(event_id, ts, user_id)`` in arrival order."""
     ranked = ordered_rank(calls, ["user_id"], list(order))
-    return _decide(user_plan(ranked, users))
+    return decide(user_plan(ranked, users))
 
 
 def quota_reset(calls: DataFrame, users: DataFrame, order=("ts", "event_id")) -> DataFrame:
@@ -70,7 +71,7 @@ def quota_reset(calls: DataFrame, users: DataFrame, order=("ts", "event_id")) ->
     from 0; the stored usage applies to no month)."""
     c = calls.withColumn("month", F.trunc(F.col("ts").cast("date"), "MM"))
     ranked = ordered_rank(c, ["user_id", "month"], list(order))
-    return _decide(user_plan(ranked, users).withColumn("usage0", F.lit(0)))
+    return decide(user_plan(ranked, users).withColumn("usage0", F.lit(0)))
 
 
 def usage_increment(users: DataFrame, calls: DataFrame) -> DataFrame:

@@ -8,14 +8,14 @@ cuts lineage so a lost executor never recomputes the rendering.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallybook.session import checkpoint_dir
 
-VERSION = "1"
+VERSION = "2"
 
 
 def _fs_exists(spark: SparkSession, path: str) -> bool:
@@ -25,8 +25,17 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the input files, so that changed data gets new derived tables."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in fs.listStatus(p)]
+    return "|".join([str(fs.makeQualified(p)), *sorted(files)])
+
+
 def stored_path(spark: SparkSession, name: str, sf_dir: str) -> str:
-    key = hashlib.sha1(f"{name}|{os.path.abspath(sf_dir)}|{VERSION}".encode()).hexdigest()[:12]
+    key = hashlib.sha1(f"{name}|{_stamp(spark, sf_dir)}|{VERSION}".encode()).hexdigest()[:12]
     return f"{checkpoint_dir(spark).rstrip('/')}/derived/{name}-{key}"
 
 
@@ -36,3 +45,21 @@ def stored(spark: SparkSession, name: str, sf_dir: str, build: Callable[[], Data
     if not _fs_exists(spark, path + "/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def stored_slices(spark: SparkSession, name: str, sf_dir: str, build: Callable[[], DataFrame], order_col: str, n: int = 4) -> str:
+    """Folder of ``n`` files written one after the other in the order of ``order_col``: a
+    stream that reads a file per batch gets them in that order."""
+    path = stored_path(spark, name, sf_dir)
+    if not _fs_exists(spark, f"{path}-done/_SUCCESS"):
+        df = build()
+        timed = df.schema[order_col].dataType.typeName().startswith("timestamp")
+        at = (F.unix_micros(F.col(order_col).cast("timestamp")) if timed else F.col(order_col)).cast("double")
+        cuts = df.select(F.percentile_approx(at, [i / n for i in range(1, n)]).alias("c")).first()["c"] or []
+        edges = [None, *sorted(set(cuts)), None]
+        for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            part = df if lo is None else df.filter(at > lo)
+            part = part if hi is None else part.filter((at <= hi) | (at.isNull() if lo is None else F.lit(False)))
+            part.coalesce(1).write.mode("append" if i else "overwrite").parquet(path)
+        spark.range(1).write.mode("overwrite").parquet(f"{path}-done")
+    return path

@@ -1,8 +1,8 @@
 """ST6: per-conversation history kept in streaming state, last ``k`` messages.
 
-State per conversation is a bounded list (at most ``k`` turns), updated with
-each micro-batch's new turns; the job emits the conversation's current tail
-whenever it changes.
+State per conversation is a bounded list (at most ``k`` turns) and a version.
+A micro-batch that touches a conversation emits its whole new tail under
+the next version; :func:`tails` reads the latest version of each conversation.
 """
 
 from __future__ import annotations
@@ -10,32 +10,41 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tallybook.operators.chatlog import HISTORY_KEPT
 
-OUT_SCHEMA = "conv_id long, turn long, role string, text string"
-STATE_SCHEMA = "tail string"
+OUT_SCHEMA = "conv_id long, version long, turn long, role string, text string"
+STATE_SCHEMA = "tail string, version long"
 
 
 def _keeper(k: int):
     def keep(key, pdfs, state):
-        prev = json.loads(state.get[0]) if state.exists else []
-        rows = [tuple(r) for r in prev]
+        tail, version = state.get if state.exists else ("[]", 0)
+        rows = [tuple(r) for r in json.loads(tail)]
         for pdf in pdfs:
             rows += list(zip(pdf["turn"].astype("int64"), pdf["role"], pdf["text"]))
             rows = sorted(rows, key=lambda r: r[0])[-k:]  # stay bounded while reading
-        state.update((json.dumps([[int(t), r, x] for t, r, x in rows]),))
-        yield pd.DataFrame({"conv_id": [int(key[0])] * len(rows), "turn": [int(r[0]) for r in rows],
+        state.update((json.dumps([[int(t), r, x] for t, r, x in rows]), version + 1))
+        n = len(rows)
+        yield pd.DataFrame({"conv_id": [int(key[0])] * n, "version": [version + 1] * n, "turn": [int(r[0]) for r in rows],
                             "role": [r[1] for r in rows], "text": [r[2] for r in rows]})
     return keep
 
 
-def start(spark: SparkSession, conv_dir: str, schema, out_dir: str, k: int = HISTORY_KEPT):
-    conv = spark.readStream.schema(schema).parquet(conv_dir)
+def start(spark: SparkSession, conv_dir: str, schema, out_dir: str, k: int = HISTORY_KEPT, files_per_batch: int = 64):
+    conv = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(conv_dir)
     out = conv.groupBy("conv_id").applyInPandasWithState(
         _keeper(k), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
     return (out.writeStream.format("parquet").option("path", f"{out_dir}/tails")
                .option("checkpointLocation", f"{out_dir}/_checkpoint")
                .outputMode("append").trigger(availableNow=True).start())
+
+
+def tails(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The current tail of every conversation."""
+    rows = spark.read.schema(OUT_SCHEMA).parquet(f"{out_dir}/tails")
+    latest = rows.groupBy("conv_id").agg(F.max("version").alias("version"))
+    return rows.join(latest, ["conv_id", "version"], "left_semi").drop("version")

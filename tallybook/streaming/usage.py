@@ -1,45 +1,40 @@
 """ST5: running per-user usage and quota decisions on a stream of calls.
 
-Each call joins the static users table (plan, limit, stored usage; unknown
-users get the starter defaults), then ``applyInPandasWithState`` keeps per
-user the number of calls already seen.  Inside a micro-batch a user's calls
-are taken in (ts, event_id) order; the n-th call overall is allowed exactly
-when the batch rule of :mod:`tallybook.operators.quota` allows it.  A user's
-rows in one micro-batch are bounded by the trigger size.
+Each micro-batch is ranked per user by the batch rule's skew-safe rank, shifted
+by the calls the user made in earlier batches, and decided by
+:mod:`tallybook.operators.quota`; no user's calls meet in one task.  The running
+counts are a table in the job's folder: batch n writes the counts after it, and reads
+those of batch n - 1, so a retried batch replaces its own output.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import functions as F
 
 from tallybook.operators import quota as Q
-
-OUT_SCHEMA = "event_id long, user_id string, rn long, allowed boolean, message string"
-STATE_SCHEMA = "seen long"
-
-
-def _gate(key, pdfs, state):
-    seen = state.get[0] if state.exists else 0
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-    rn = seen + pd.RangeIndex(1, len(pdf) + 1)
-    lim = pdf["plan_limit"]
-    unlimited = (pdf["plan"] == Q.UNLIMITED_PLAN) | lim.isna() | (lim == 0)
-    allowed = unlimited | ((pdf["usage0"] + rn - 1) < lim)
-    used = pdf[["usage0"]].assign(l=lim).max(axis=1)
-    msg = [None if a else f"{Q.QUOTA_MSG_HEAD}{int(u)}/{int(x)}{Q.QUOTA_MSG_TAIL}"
-           for a, u, x in zip(allowed, used, lim)]
-    state.update((int(seen + len(pdf)),))
-    yield pd.DataFrame({"event_id": pdf["event_id"].astype("int64").values, "user_id": pdf["user_id"].values,
-                        "rn": rn.astype("int64"), "allowed": allowed.astype(bool).values, "message": msg})
-
-
-def start(spark: SparkSession, calls_dir: str, schema, users: DataFrame, out_dir: str):
-    calls = spark.readStream.schema(schema).parquet(calls_dir)
-    planned = Q.user_plan(calls, users)
-    out = planned.groupBy("user_id").applyInPandasWithState(
-        _gate, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    return (out.writeStream.format("parquet").option("path", f"{out_dir}/gated")
-               .option("checkpointLocation", f"{out_dir}/_checkpoint")
-               .outputMode("append").trigger(availableNow=True).start())
+from tallybook.operators.common import ordered_rank
+
+COUNTS_SCHEMA = "user_id string, seen long"
+
+
+def start(spark: SparkSession, calls_dir: str, schema, users: DataFrame, out_dir: str, files_per_batch: int = 64):
+    calls = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(calls_dir)
+
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        before = (session.read.schema(COUNTS_SCHEMA).parquet(f"{out_dir}/counts/{batch_id - 1}") if batch_id
+                  else session.createDataFrame([], COUNTS_SCHEMA))
+        ranked = ordered_rank(batch, ["user_id"], ["ts", "event_id"])
+        old = before.withColumnRenamed("user_id", "_user")
+        running = (ranked.join(old, F.col("user_id").eqNullSafe(F.col("_user")), "left")
+                         .withColumn("rn", F.col("rn") + F.coalesce("seen", F.lit(0))).drop("_user", "seen"))
+        (Q.decide(Q.user_plan(running, users)).select("event_id", "user_id", "rn", "allowed", "message")
+          .write.mode("overwrite").parquet(f"{out_dir}/gated/batch_id={batch_id}"))
+        (ranked.groupBy("user_id").agg(F.count(F.lit(1)).alias("seen")).unionByName(before)
+               .groupBy("user_id").agg(F.sum("seen").alias("seen"))
+               .write.mode("overwrite").parquet(f"{out_dir}/counts/{batch_id}"))
+
+    return (calls.writeStream.foreachBatch(each_batch)
+                 .option("checkpointLocation", f"{out_dir}/_checkpoint")
+                 .trigger(availableNow=True).start())
