@@ -9,7 +9,7 @@ parse_date (X2)
     ``all`` (default): the first of six formats that parses, in listed order.
     ``reference``: only the first format (the reference's loop returns after
     it), and dates outside pandas' nanosecond range become NULL as there.
-derive_total_import / derive_total_entry (X3 / X4)
+derive_total_entry (X4; X3 is part of the mapping)
     The two rules for a missing total: by absent column, or by falsy value.
 """
 
@@ -87,19 +87,6 @@ def parse_date(x, mode: str = "all") -> Column:
     raise ValueError("mode must be 'all' or 'reference'")
 
 
-def derive_total_import(df: DataFrame) -> DataFrame:
-    """Add ``total_amount`` only when the column is absent: quantity x unit_price
-    first, else work_days x daily_rate (per-sheet presence is handled by the mapping)."""
-    cols = set(df.columns)
-    if "total_amount" in cols:
-        return df
-    if {"quantity", "unit_price"} <= cols:
-        return df.withColumn("total_amount", F.col("quantity") * F.col("unit_price"))
-    if {"work_days", "daily_rate"} <= cols:
-        return df.withColumn("total_amount", F.col("work_days") * F.col("daily_rate"))
-    return df
-
-
 def derive_total_entry(total, a, b) -> Column:
     """A manual entry's total is a x b when the total is 0 or missing and
     both factors are non-zero."""

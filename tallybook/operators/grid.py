@@ -167,23 +167,34 @@ def preview(grid: DataFrame, n_rows: int = PREVIEW_ROWS) -> DataFrame:
     return rows
 
 
-def grid_scan(spark, path: str, max_cols: int = 64) -> DataFrame:
+def csv_width(spark, path: str) -> int:
+    """Fields of the widest record of a folder of CSV files: separators outside quotes, plus one."""
+    outside = F.regexp_replace("value", r'"[^"]*+"', "")
+    widths = F.transform(F.split(outside, r"\r?\n"), lambda x: F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))) + 1)
+    got = spark.read.option("wholetext", True).text(path).agg(F.max(F.array_max(widths))).first()[0]
+    return max(1, got or 1)
+
+
+def grid_scan(spark, path: str, min_cols: int = 1) -> DataFrame:
     """A folder of CSV sheet exports -> grid rows, no header, all text.
 
-    An explicit schema ``c0..c{max_cols-1}`` keeps ragged rows whole (an
-    inferred one takes one row's width).  ``multiLine`` makes each file one
+    A first aggregate over the files finds the widest record; the explicit schema of that
+    width keeps every cell of every row (an inferred one takes one row's width, and a
+    narrower one drops cells).  ``multiLine`` makes each file one
     unsplit task, so ``monotonically_increasing_id`` follows file order and
-    serves as ``row_idx`` (ordered, not dense) with no shuffle.  ``file`` is
+    serves as ``row_idx`` (ordered, not dense) with no shuffle; exports of many
+    gigabytes should come as several files.  ``file`` is
     the file's path and ``sheet`` its name without extension; partition
     columns of the folder layout are kept (``part_<name>`` when the name is
     taken)."""
-    schema = ", ".join(f"c{i} string" for i in range(max_cols))
-    df = (spark.read.schema(schema).option("header", False).option("multiLine", True)
-               .option("mode", "PERMISSIVE").csv(path)
+    n = max(min_cols, csv_width(spark, path))
+    schema = ", ".join(f"c{i} string" for i in range(n))
+    df = (spark.read.schema(schema).option("header", False).option("multiLine", True).option("maxColumns", n + 1)
+               .option("escape", '"').option("mode", "PERMISSIVE").csv(path)
                .withColumn("file", F.col("_metadata.file_path"))
                .withColumn("row_idx", F.monotonically_increasing_id()))
-    parts = [c for c in df.columns if c not in {f"c{i}" for i in range(max_cols)} | {"file", "row_idx"}]
-    cells = F.array(*[F.col(f"c{i}") for i in range(max_cols)])
+    parts = [c for c in df.columns if c not in {f"c{i}" for i in range(n)} | {"file", "row_idx"}]
+    cells = F.array(*[F.col(f"c{i}") for i in range(n)])
     last = F.aggregate(F.transform(cells, lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0)),
                        F.lit(0), lambda a, b: F.greatest(a, b))
     taken = {"file", "sheet", "sheet_idx", "row_idx", "cells"}
@@ -191,3 +202,13 @@ def grid_scan(spark, path: str, max_cols: int = 64) -> DataFrame:
     return df.select("file", F.regexp_extract("file", r"([^/]*?)(\.[^./]*)?$", 1).alias("sheet"),
                      F.lit(0).alias("sheet_idx"), "row_idx", *part_cols,
                      F.slice(cells, 1, F.greatest(last, F.lit(1))).alias("cells"))
+
+
+def file_catalog(spark, path: str) -> DataFrame:
+    """Per CSV file its size, modification time, rows, widest row and first-row names."""
+    grid = grid_scan(spark, path)
+    counts = grid.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("cells")).alias("columns"),
+                                      F.min_by("cells", "row_idx").alias("header"))
+    meta = (spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("uploaded_at")))
+    return meta.join(counts, "file", "left")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallybook import schemas as S
 from tallybook.operators import grid as G
 from tallybook.operators import mapping as M
-from tallybook.session import cut_lineage
+from tallybook.session import store
 
 # The reference's report texts.
 SKIP_REASON = "ไม่สามารถระบุประเภทข้อมูลได้"
@@ -36,30 +36,44 @@ class Imported:
 def import_grid(grid: DataFrame, fill: str = "down", header_mode: str = "intended",
                 min_fields: int = 2, date_mode: str = "all", keep_sign: bool = False,
                 overrides: DataFrame | None = None, block: int = 4096,
-                materialize: bool = True) -> Imported:
+                materialize: bool = True, stored: DataFrame | None = None) -> Imported:
     """The import DAG.  The filled grid feeds the header search, the body
     rows, the mapping and the report; with ``materialize`` it is written once
-    as a reliable checkpoint in the shared folder, so those branches read it
-    instead of recomputing the fill, and a lost executor never replays it."""
+    as Parquet in the shared folder, and so is the small sheet table (header, type, columns), so those
+    branches read files with column pruning instead of recomputing the fill.  ``stored``
+    holds mappings of earlier model replies (:func:`mapping.stored_mapping`), which win over the
+    automatic mapping; ``overrides`` are the user's corrections, which win over both."""
     counted = G.with_raw_count(grid)
     filled = G.grid_fill(counted, fill, block, keep=[G.RAW_COUNT] if header_mode == "intended" else [])
     if materialize:
-        filled = cut_lineage(filled)
+        filled = store(filled, "filled-grid")
     headers = G.header_detect(grid, filled, header_mode)
+    if materialize:
+        headers = store(headers, "headers")
     body = G.body_rows(filled, headers)
     sheet_types, column_map = M.map_columns(headers, min_fields)
+    if stored is not None:
+        sheet_types, column_map = M.map_from_store(headers, sheet_types, column_map, stored)
     if overrides is not None:
-        column_map = M.map_override(column_map, overrides)
+        sheet_types, column_map = M.map_override(headers, sheet_types, column_map, overrides)
+    if materialize:
+        sheet_types, column_map = store(sheet_types, "sheet-types"), store(column_map, "column-map")
     typed = M.apply_mapping(body, sheet_types, column_map, date_mode, keep_sign)
-    typed = typed.join(M.field_positions(column_map).select(*G.SHEET, F.map_keys("fmap").alias("mapped")),
-                       G.SHEET, "inner")
     return Imported(headers, sheet_types, column_map, body, typed)
 
 
-def ledger_rows(typed: DataFrame, imports: DataFrame, table_type: str) -> DataFrame:
+def failed_sheets(typed: DataFrame) -> DataFrame:
+    """Sheets with a value that is no number or does not fit its type."""
+    return typed.filter("n_bad > 0").select(*G.SHEET).distinct()
+
+
+def ledger_rows(typed: DataFrame, imports: DataFrame, table_type: str, on_bad: str = "null") -> DataFrame:
     """Rows of one table type in the ledger's columns: a stable id
     (hash of file, sheet, row), project and user of the import, source
-    ``excel_import``; unmapped columns take the store's defaults."""
+    ``excel_import``; unmapped columns take the store's defaults.  With
+    ``on_bad='fail_sheet'`` no row of a failed sheet is loaded, as its report says."""
+    if on_bad == "fail_sheet":
+        typed = typed.join(failed_sheets(typed.filter(F.col("table_type") == table_type)), G.SHEET, "left_anti")
     table = S.TABLE_OF_TYPE.get(table_type, table_type)
     schema = S.LEDGERS[table]
     defaults = S.DEFAULTS.get(table, {})

@@ -144,8 +144,12 @@ _MILESTONE = f"""SELECT CAST(l_orderkey AS VARCHAR) AS project_id, user_id,
 FROM {_truth_lines('milestone')} t"""
 
 
-def _ledger(spark, sf_dir, table_type, cols):
-    imp = _imported(spark, sf_dir)
+def labor_rows(imp, spark, sf_dir):
+    return _ledger(spark, sf_dir, "labor", LABOR_COLS, imp)
+
+
+def _ledger(spark, sf_dir, table_type, cols, imp=None):
+    imp = imp or _imported(spark, sf_dir)
     rows = ingest.ledger_rows(imp.typed, SH.imports(spark, sf_dir), table_type)
     out = []
     for c in cols:
