@@ -123,6 +123,55 @@ def message_assembly(spark, sf_dir):
     return CL.message_assembly(c, sys)
 
 
+_ROUND2 = """WITH t AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rd,
+         COUNT(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations),
+k AS (SELECT *, LEAST(n, 21) AS m FROM t WHERE rd <= 21),
+h AS (SELECT conv_id, m - rd AS idx, CASE WHEN role = 'assistant' THEN 'model' ELSE 'user' END AS role, text FROM k WHERE rd > {lost}
+      UNION ALL SELECT conv_id, {answer_at}, 'model', '<sql>SELECT ' || CAST(conv_id AS VARCHAR) || '</sql>' FROM k WHERE rd = 1
+      UNION ALL SELECT conv_id, {answer_at} + 1, 'user', 'ผลลัพธ์จากฐานข้อมูล:' || chr(10)
+        || CASE WHEN conv_id % 3 = 0 THEN 'ไม่พบข้อมูล' ELSE '[' || CAST(conv_id AS VARCHAR) || ']' END
+        || chr(10) || chr(10) || 'กรุณาสรุปคำตอบเป็นภาษาไทยที่เข้าใจง่าย' FROM k WHERE rd = 1)
+SELECT conv_id, CAST(idx AS INTEGER) AS pos, CASE WHEN idx = 0 THEN 'user' ELSE role END AS role,
+  CASE WHEN idx = 0 THEN 'ledger assistant; tenant ' || CAST(conv_id AS VARCHAR) || chr(10) || chr(10) || text ELSE text END AS content
+FROM h"""
+
+
+def _second_round(spark, sf_dir, keep_question):
+    c = _conv(spark, sf_dir)
+    cid = F.col("conv_id").cast("string")
+    answers = c.select("conv_id").distinct().select(
+        "conv_id", F.concat(F.lit("<sql>SELECT "), cid, F.lit("</sql>")).alias("first_answer"),
+        F.when(F.col("conv_id") % 3 == 0, F.lit(CL.NO_DATA)).otherwise(F.concat(F.lit("["), cid, F.lit("]"))).alias("result_text"))
+    return CL.second_round(c, F.concat(F.lit(SYSTEM_HEAD), cid), answers, keep_question=keep_question)
+
+
+@register("second_round", _ROUND2.format(lost=1, answer_at="m - 1"))
+def second_round(spark, sf_dir):
+    """Second-round message list per conversation, as the reference sends it (the question left out)."""
+    return _second_round(spark, sf_dir, False)
+
+
+@register("second_round_question", _ROUND2.replace("WHERE rd > {lost}", "").format(answer_at="m").replace(
+    "CASE WHEN role = 'assistant' THEN 'model' ELSE 'user' END", "CASE WHEN role = 'assistant' AND rd > 1 THEN 'model' ELSE 'user' END"))
+def second_round_question(spark, sf_dir):
+    """Second-round message list with the question kept."""
+    return _second_round(spark, sf_dir, True)
+
+
+@register("result_text", with_ledgers("""SELECT u.id AS key, CASE WHEN u.usage_count % 7 = 0 THEN 'เกิดข้อผิดพลาด: no table'
+  ELSE COALESCE('[' || chr(10) || r.j || chr(10) || ']', 'ไม่พบข้อมูล') END AS result_text
+FROM users u LEFT JOIN (SELECT user_id, string_agg('  {' || chr(10) || '    "id": "' || id || '",' || chr(10) || '    "name": "' || name
+  || '"' || chr(10) || '  }', ',' || chr(10) ORDER BY id) AS j FROM projects GROUP BY user_id) r ON r.user_id = u.id""", "users", "projects"))
+def result_text(spark, sf_dir):
+    """Per user the whole result text of a question for the user's projects (array, no data, or error)."""
+    p = fx.projects(spark, sf_dir)
+    cols = p.select("id", "name")
+    asked = fx.users(spark, sf_dir).select(F.col("id").alias("key"), F.when(F.col("usage_count") % 7 == 0, F.lit("no table")).alias("error"))
+    return CL.result_text(asked, p.select(F.col("user_id").alias("key"), F.col("id").alias("pos"), CL.row_json(cols).alias("row_json")))
+
+
 def _json_sql(cols_types) -> str:
     parts = []
     for c, kind in cols_types:
