@@ -11,7 +11,7 @@ from tallybook.operators import mapping as M
 from tallybook.operators import store as ST
 from tallybook.plans.catalog import register
 from tallybook.plans.oracle import ORACLE, money
-from tallybook.plans.q_import import LONG, _field_rows, _grid, _imported, _with, labor_rows
+from tallybook.plans.q_import import FILLED, HEADER, LONG, _field_rows, _grid, _with, labor_rows
 from tallybook.session import store
 from tallybook.sources import sheets as SH
 from tallybook.sources.stored import _fs_exists, stored_path
@@ -144,11 +144,25 @@ def manual_rejects(spark, sf_dir):
     return out
 
 
-@register("sheet_sample")
+@register("sheet_sample", _with(LONG, FILLED, HEADER) + """, cellrow AS (
+  SELECT f.file, f.sheet, f.row_idx, h.header_row, COUNT(f.v) AS n,
+         CASE f.sheet WHEN 'งวดงาน' THEN 5 WHEN 'สรุป' THEN 2 ELSE 7 END AS w, -- rows are stored as wide as the widest style
+         '| ' || string_agg(COALESCE(f.v, ''), ' | ' ORDER BY f.col_idx) || ' |'
+         || repeat('  |', CAST(CASE f.sheet WHEN 'งวดงาน' THEN 5 WHEN 'สรุป' THEN 2 ELSE 7 END - COUNT(*) AS INTEGER)) AS line
+  FROM filled f JOIN hdr h ON f.file = h.file AND f.sheet = h.sheet
+  WHERE f.row_idx >= h.header_row GROUP BY f.file, f.sheet, f.row_idx, h.header_row),
+bodyrow AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY file, sheet ORDER BY row_idx) AS rn
+            FROM cellrow WHERE row_idx > header_row AND n > 0)
+SELECT c.file, c.sheet, c.line || chr(10) || '|' || repeat('---|', c.w) || chr(10)
+       || string_agg(b.line, chr(10) ORDER BY b.row_idx) AS sample
+FROM cellrow c JOIN bodyrow b ON b.file = c.file AND b.sheet = c.sheet AND b.rn <= 3
+WHERE c.row_idx = c.header_row GROUP BY c.file, c.sheet, c.line, c.w""")
 def sheet_sample(spark, sf_dir):
-    """First three body rows of every sheet as markdown (rows-only check)."""
-    imp = _imported(spark, sf_dir)
-    return G.sheet_sample(imp.body, imp.headers).select("file", "sheet", "sample")
+    """First three body rows of every sheet as markdown."""
+    g = _grid(spark, sf_dir)
+    f = store(G.grid_fill(g), "filled-grid")
+    h = G.header_detect(g, f)
+    return G.sheet_sample(G.body_rows(f, h), h).select("file", "sheet", "sample")
 
 
 def _headers(spark, sf_dir):
