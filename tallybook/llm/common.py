@@ -24,13 +24,20 @@ def id_mod(k: int, id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(k))
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+#: Rows per written file where a table's size is known beforehand.
+ROWS_PER_FILE = 200_000
+
+
+def keep(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
     """``df`` written once as Parquet under the shared folder and read back.
 
     Cuts lineage and fixes values such as row numbers of a scan; lost executors
     read the files again.  The files stay until the shared folder is cleared.
+    With a bound on its rows the table is written by as many tasks as the bound needs.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
+    if most_rows is not None:
+        df = df.coalesce(1 + most_rows // ROWS_PER_FILE)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

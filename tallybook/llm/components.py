@@ -20,24 +20,24 @@ def components(edges: DataFrame) -> DataFrame:
         return (e.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     live = keep(tidy(edges.select("a", "b")), "edges")
-    joined = None
+    joined, nodes = None, 0
     turn = 0
-    while not live.isEmpty():
+    while size := live.count():
         first = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
         both = live.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
             live.select(F.col("b").alias("u"), F.col("a").alias("v")))
         moves = keep(both.select("u", first("v").alias("f")).groupBy("u").agg(F.min("f").alias("f"))
-                     .select("u", F.least("f", first("u"))["to"].alias("r")), "moves")
+                     .select("u", F.least("f", first("u"))["to"].alias("r")), "moves", 2 * size)
         step = lambda side: moves.select(F.col("u").alias(f"u_{side}"), F.col("r").alias(f"r_{side}"))  # noqa: B023, E731
         live = keep(tidy(live.join(step("a"), F.col("a") == F.col("u_a")).join(step("b"), F.col("b") == F.col("u_b"))
-                         .select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))), "edges")
+                         .select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))), "edges", size)
         if joined is None:
-            joined = moves.select(F.col("u").alias("node"), F.col("r").alias("root"))
+            joined, nodes = moves.select(F.col("u").alias("node"), F.col("r").alias("root")), 2 * size
         else:
             joined = keep(joined.join(moves, F.col("root") == F.col("u"), "left")
-                          .select("node", F.coalesce("r", "root").alias("root")), "roots")
+                          .select("node", F.coalesce("r", "root").alias("root")), "roots", nodes)
         turn += 1
     if joined is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    least = keep(joined.groupBy("root").agg(F.min("node").alias("component")).withColumnRenamed("root", "_r"), "least")
+    least = keep(joined.groupBy("root").agg(F.min("node").alias("component")).withColumnRenamed("root", "_r"), "least", nodes)
     return joined.join(least, F.col("root") == F.col("_r")).select("node", "component")
