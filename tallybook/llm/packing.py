@@ -16,6 +16,7 @@ import operator
 import unicodedata
 import zlib
 from array import array
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -69,8 +70,8 @@ class Encoder:
         """Ids of words not known yet; a letter followed by one closing mark is two runs of tokens."""
         bare = {w[:-1] if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() else w for w in words}
         fresh = bare.difference(self.known)
-        # a word of letters is one pre-token: the model alone gives its ids
-        plain = {w for w in fresh if w.isalpha() and unicodedata.is_normalized("NFC", w)}
+        # a lower-case word of letters is one pre-token: the model alone gives its ids
+        plain = {w for w in fresh if w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w)}
         made, tokenize = {}, self.model.tokenize
         for w in plain:
             byte_text = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARS)
@@ -110,6 +111,8 @@ def cuts(places: list[int], costs: list[float], window: int) -> list[int]:
     ``window - length``.  With best[j] = costs[j] + min over i of best[i] + window -
     (places[j] - places[i]), the minimum of best[i] + places[i] over the reachable i slides
     along with j; a queue of rising values keeps it.  Of equal choices the earlier cut wins.
+    The last window's padding is free: it is cut in powers of two afterwards, so what a block lacks to whole
+    windows gathers there.
     """
     n = len(places)
     best, back = [0.0] * n, [0] * n
@@ -125,6 +128,9 @@ def cuts(places: list[int], costs: list[float], window: int) -> list[int]:
         while queue and queue[-1][0] > b:
             queue.pop()
         queue.append((b, j))
+    reach = [i for i in range(bisect_left(places, places[-1] - window), n - 1)]
+    if reach:
+        back[-1] = min(reach, key=best.__getitem__)
     out, j = [places[-1]], n - 1
     while j:
         j = back[j]
@@ -163,14 +169,11 @@ def pack_block(lengths: np.ndarray, ids: np.ndarray, stops: np.ndarray, window:
     ends = np.cumsum(lengths)
     places, cost = allowed(ids, ends, stops, stride)
     bounds = cuts(places.tolist(), cost.tolist(), window)
-    # the shortest window of a block is its one remainder: cut it in powers of two
-    spare = min(range(len(bounds) - 1), key=lambda k: bounds[k + 1] - bounds[k])
-    out = []
-    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-        out.append(a)
-        if k == spare and b - a < window:
-            while (rest := b - out[-1]) & (rest - 1):
-                out.append(out[-1] + (1 << (rest.bit_length() - 1)))
+    # the last window is the block's remainder: powers of two need no padding
+    out = bounds[:-1]
+    if bounds[-1] - out[-1] < window:
+        while (rest := bounds[-1] - out[-1]) & (rest - 1):
+            out.append(out[-1] + (1 << (rest.bit_length() - 1)))
     out.append(bounds[-1])
     doc = 0
     for k, (a, b) in enumerate(zip(out, out[1:])):

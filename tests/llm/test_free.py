@@ -164,11 +164,12 @@ def test_cuts_are_the_cheapest():
         window = 12
 
         def price(bounds):
-            return sum(window - (b - a) for a, b in zip(bounds, bounds[1:])) + sum(costs[places.index(b)] for b in bounds[1:-1])
+            return sum(window - (b - a) for a, b in zip(bounds[:-1], bounds[1:-1])) + sum(costs[places.index(b)] for b in bounds[1:-1])
 
         best = {places[0]: 0.0}
         for j in range(1, len(places)):
-            best[places[j]] = costs[j] + min(best[p] + window - (places[j] - p) for p in places[:j] if places[j] - p <= window)
+            padding = lambda p: window - (places[j] - p) if j < len(places) - 1 else 0  # noqa: B023, E731
+            best[places[j]] = costs[j] + min(best[p] + padding(p) for p in places[:j] if places[j] - p <= window)
         got = packing.cuts(places, costs, window)
         assert got[0] == 0 and got[-1] == places[-1] and max(b - a for a, b in zip(got, got[1:])) <= window
         assert price(got) == pytest.approx(best[places[-1]])
