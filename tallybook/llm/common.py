@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,9 +40,32 @@ def keep(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
     if most_rows is not None:
         df = df.coalesce(1 + most_rows // ROWS_PER_FILE)
     df.write.parquet(path)
+    if _scope:
+        _scope[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scope: list[list[str]] = []
+
+
+@contextmanager
+def keeping(paths: list[str]):
+    """Notes in ``paths`` the tables that :func:`keep` writes meanwhile, for :func:`drop_kept`."""
+    _scope.append(paths)
+    try:
+        yield
+    finally:
+        _scope.pop()
+
+
+def drop_kept(spark, paths: list[str]) -> None:
+    """Deletes tables of :func:`keep` that nothing reads any more, and empties the list."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only; texts of ASCII alone take the faster built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
