@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Iterable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +46,17 @@ def keep(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_pieces(spark, frames: Iterable[DataFrame], ddl: str, name: str) -> DataFrame:
+    """The frames, one after the other, written into one table as :func:`keep` does; none gives an empty table."""
+    path = f"{checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    if _scope:
+        _scope[-1].append(path)
+    spark.createDataFrame([], ddl).coalesce(1).write.parquet(path)
+    for df in frames:
+        df.write.mode("append").parquet(path)
+    return spark.read.schema(ddl).parquet(path)
+
+
 _scope: list[list[str]] = []
 
 
