@@ -167,12 +167,35 @@ def preview(grid: DataFrame, n_rows: int = PREVIEW_ROWS) -> DataFrame:
     return rows
 
 
+#: Rows of one written CSV file: a file is read by one task.
+CSV_ROWS = 100_000
+#: Columns that a search for the widest record can meet.
+MOST_COLUMNS = 1 << 20
+
+
+def write_csv(df: DataFrame, path: str, folders: list[str], salt: Column, order: list[str], n_rows: int, n_folders: int) -> None:
+    """``df`` as CSV files of at most CSV_ROWS rows in folders by ``folders``, more files for more rows; rows of one ``salt``
+    come in the order of ``order``, and neither column is written when named with an underscore."""
+    parts = -(-n_rows // (CSV_ROWS * n_folders)) or 1
+    dealt = df.repartition(n_folders * parts, *folders, F.pmod(F.xxhash64(salt), F.lit(parts)))
+    hidden = [c for c in df.columns if c.startswith("_")]
+    ((dealt.sortWithinPartitions(*folders, *order) if order else dealt).drop(*hidden)
+     .write.mode("overwrite").option("maxRecordsPerFile", CSV_ROWS).partitionBy(*folders).option("header", False).csv(path))
+
+
 def csv_width(spark, path: str) -> int:
-    """Fields of the widest record of a folder of CSV files: separators outside quotes, plus one."""
-    outside = F.regexp_replace("value", r'"[^"]*+"', "")
-    widths = F.transform(F.split(outside, r"\r?\n"), lambda x: F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))) + 1)
-    got = spark.read.option("wholetext", True).text(path).agg(F.max(F.array_max(widths))).first()[0]
-    return max(1, got or 1)
+    """Fields of the widest record of a folder of CSV files: separators outside quoted fields, plus one.
+
+    The CSV reader gives the text of every record of more fields than one, as it streams through a
+    file, so no value is larger than a record.  A quote that does not open a field hides no separator.
+    """
+    got = (spark.read.schema("c0 string, _record string").option("header", False).option("multiLine", True).option("escape", '"')
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_record").option("maxColumns", MOST_COLUMNS).csv(path))
+    outside = F.regexp_replace("_record", r'(?<![^,"\r\n])"[^"]*+"', "")
+    width = F.length(outside) - F.length(F.replace(outside, F.lit(","), F.lit(""))) + 1
+    # the first field is read too: Spark refuses to read records' texts alone
+    most = got.agg(F.max(F.when(F.col("_record").isNotNull() | F.col("c0").isNotNull(), F.coalesce(width, F.lit(1))))).first()[0]
+    return max(1, most or 1)
 
 
 def grid_scan(spark, path: str, min_cols: int = 1) -> DataFrame:

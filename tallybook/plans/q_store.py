@@ -248,10 +248,9 @@ def _csv_exports(spark, sf_dir) -> str:
         g = _grid(spark, sf_dir)
         key = F.regexp_extract("file", r"#(\d+)", 1).cast("long")
         width = 7
-        out = g.select((key % 16).alias("bucket"), "sheet", key.alias("_k"), "row_idx",
+        out = g.select((key % 16).alias("bucket"), "sheet", key.alias("_k"), F.col("row_idx").alias("_at"),
                        *[F.try_element_at("cells", F.lit(i + 1)).alias(f"c{i}") for i in range(width)])
-        (out.repartition("bucket", "sheet").sortWithinPartitions("_k", "row_idx").drop("_k", "row_idx")
-            .write.mode("overwrite").partitionBy("bucket", "sheet").option("header", False).csv(path))
+        G.write_csv(out, path, ["bucket", "sheet"], F.col("_k"), ["_k", "_at"], g.count(), 48)
     return path
 
 
@@ -274,8 +273,8 @@ def wide_grid_scan(spark, sf_dir):
     path = stored_path(spark, "wide_csv", sf_dir)
     if not _fs_exists(spark, path + "/_SUCCESS"):
         li = table(spark, sf_dir, "lineitem")
-        (li.select((F.col("l_orderkey") % 16).alias("bucket"), *[(F.col("l_orderkey") + i).alias(f"c{i}") for i in range(80)])
-           .repartition("bucket").write.mode("overwrite").partitionBy("bucket").option("header", False).csv(path))
+        wide = li.select((F.col("l_orderkey") % 16).alias("bucket"), *[(F.col("l_orderkey") + i).alias(f"c{i}") for i in range(80)])
+        G.write_csv(wide, path, ["bucket"], F.col("c0"), [], li.count(), 16)
     g = G.grid_scan(spark, path)
     return g.groupBy(F.col("bucket").cast("int").alias("bucket")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("cells")).cast("long").alias("n_cells"),
@@ -288,5 +287,6 @@ FROM long""")
 def file_catalog(spark, sf_dir):
     """File records of the CSV exports (size, modified time, rows, widest row, header), summed over what is stable."""
     c = G.file_catalog(spark, _csv_exports(spark, sf_dir))
+    # an export (a folder by bucket and sheet) is one file, or more when it has many rows
     return c.filter((F.col("size") > 0) & F.col("uploaded_at").isNotNull() & (F.size("header") > 0)).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("rows").cast("long").alias("rows"), F.max("columns").alias("widest"))
+        F.countDistinct(F.regexp_extract("file", r"(bucket=[^/]*/sheet=[^/]*)/[^/]*$", 1)).alias("files"), F.sum("rows").cast("long").alias("rows"), F.max("columns").alias("widest"))
