@@ -24,8 +24,6 @@ from tallybook.llm.common import keep_pieces, keep_placed, literal_table, number
 
 #: Blocks of a source in one row of the plan, slots in one written piece of it, and slots up to which it is broadcast.
 CHUNK, PIECE, BROADCAST_SLOTS = 1024, 1 << 18, 1 << 22
-#: Sources that may be mixed.
-MOST_SOURCES = 256
 
 
 def whole(weights: list[float]) -> list[int]:
@@ -67,7 +65,8 @@ def schedule(blocks: list[int], weights: list[float]) -> Iterator[dict]:
     """
     used = [0] * len(blocks)
     slot, phase = 0, 0
-    while live := [s for s in range(len(blocks)) if used[s] < blocks[s]]:
+    live = list(range(len(blocks)))
+    while live := [s for s in live if used[s] < blocks[s]]:
         slots: list[list[int]] = [[] for _ in live]
 
         def row(k: int) -> dict:
@@ -126,16 +125,13 @@ def mixed(df: DataFrame, weights: dict[str, float] | None = None, *, source_col:
     by the key None.  ``position`` is unique and orders the rows; the last block of a source
     may be short, so positions may have gaps.  Rows of a source keep their input order;
     repeated rows get places of their own; columns of any name pass through inside
-    ``row``; an empty table gives an empty result.  More than ``MOST_SOURCES`` sources
-    are refused.
+    ``row``; an empty table gives an empty result.  The number of sources has no bound; the driver
+    holds a count for each.
     """
     spark = df.sparkSession
     kept = keep_placed(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
                                  F.col(source_col).cast("string").alias("source")), ["source"], "mixing")
-    counted = [(r["source"], r["n"]) for r in kept.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-               .limit(MOST_SOURCES + 1).collect()]
-    if len(counted) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    counted = [(r["source"], r["n"]) for r in kept.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()]
     counted.sort(key=lambda c: (c[0] is not None, c[0] or ""))
     target = [float(n) ** temper if weights is None else float(weights[s]) for s, n in counted]
     if any(w <= 0 for w in target):

@@ -41,3 +41,12 @@ def test_plan_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(mixing, "PIECE", 1500)
     monkeypatch.setattr(mixing, "BROADCAST_SLOTS", 0)
     assert read() == once and sorted(p for _, p in once) == list(range(4000))
+
+
+def test_many_sources(spark):
+    """A source per web site: more sources than any fixed bound, some with more rows."""
+    df = spark.range(3000).selectExpr("id", "concat('site', case when id % 3 = 0 then id % 7 else id % 900 end) as source").coalesce(2)
+    got = mixing.mixed(df, block_rows=2).collect()
+    assert sorted(r.row.id for r in got) == list(range(3000))
+    assert len({r.position for r in got}) == 3000 and len({r.source for r in got}) > 600
+    assert mixing.in_mixed_order(df, block_rows=2).count() == 3000
