@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallybook.session import checkpoint_dir
 
-VERSION = "2"
+VERSION = "3"
 
 
 def _fs_exists(spark: SparkSession, path: str) -> bool:
@@ -47,12 +47,27 @@ def stored(spark: SparkSession, name: str, sf_dir: str, build: Callable[[], Data
     return spark.read.parquet(path)
 
 
-def stored_slices(spark: SparkSession, name: str, sf_dir: str, build: Callable[[], DataFrame], order_col: str, n: int = 4) -> str:
-    """Folder of ``n`` files written one after the other in the order of ``order_col``: a
-    stream that reads a file per batch gets them in that order."""
+#: Rows of one file of a slice: a slice has as many files, and so tasks, as its table's size asks for.
+SLICE_ROWS = 200_000
+
+
+def _n_files(spark: SparkSession, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sum(f.getPath().getName().startswith("part-") for f in fs.listStatus(p))
+
+
+def stored_slices(spark: SparkSession, name: str, sf_dir: str, build: Callable[[], DataFrame], order_col: str, n: int = 4) -> tuple[str, int]:
+    """Folder of ``n`` slices written one after the other in the order of ``order_col``, and the number of
+    files in each: a stream that reads so many files per batch gets the slices in that order.
+
+    The table is evaluated once and stored; a slice is written by many tasks, and every slice has
+    the same number of files (empty ones where a slice has too few rows)."""
     path = stored_path(spark, name, sf_dir)
     if not _fs_exists(spark, f"{path}-done/_SUCCESS"):
-        df = build()
+        build().write.mode("overwrite").parquet(f"{path}-whole")
+        df = spark.read.parquet(f"{path}-whole")
+        each = -(-df.count() // (SLICE_ROWS * n)) or 1
         timed = df.schema[order_col].dataType.typeName().startswith("timestamp")
         at = (F.unix_micros(F.col(order_col).cast("timestamp")) if timed else F.col(order_col)).cast("double")
         cuts = df.select(F.percentile_approx(at, [i / n for i in range(1, n)]).alias("c")).first()["c"] or []
@@ -60,6 +75,8 @@ def stored_slices(spark: SparkSession, name: str, sf_dir: str, build: Callable[[
         for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
             part = df if lo is None else df.filter(at > lo)
             part = part if hi is None else part.filter((at <= hi) | (at.isNull() if lo is None else F.lit(False)))
-            part.coalesce(1).write.mode("append" if i else "overwrite").parquet(path)
-        spark.range(1).write.mode("overwrite").parquet(f"{path}-done")
-    return path
+            part.repartition(each).write.mode("append" if i else "overwrite").parquet(path)
+            for _ in range(_n_files(spark, path), each * (i + 1)):
+                df.limit(0).coalesce(1).write.mode("append").parquet(path)
+        spark.range(1).select(F.lit(each).alias("files")).write.mode("overwrite").parquet(f"{path}-done")
+    return path, spark.read.parquet(f"{path}-done").first()["files"]
