@@ -21,6 +21,10 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
 
 
+def embeddings(spark, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, "embeddings.parquet"))
+
+
 def id_mod(k: int, id_col: str = "doc_id") -> Column:
     """crc32 of the id's text, modulo ``k``; null for a null id."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(k))
