@@ -1,6 +1,7 @@
 """Quality rules, license scans and packing against plain Python."""
 
 import re
+import random
 import zlib
 from collections import Counter, defaultdict
 
