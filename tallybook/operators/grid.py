@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.operators.common import first_k, nonnull_count
+from tallybook.operators.csvscan import csv_records
 
 SHEET = ["file", "sheet"]
 FILL_MODES = ("down", "right", "both", "none")
@@ -167,10 +168,8 @@ def preview(grid: DataFrame, n_rows: int = PREVIEW_ROWS) -> DataFrame:
     return rows
 
 
-#: Rows of one written CSV file: a file is read by one task.
+#: Rows of one written CSV file; the scan deals a file of any size to many tasks.
 CSV_ROWS = 100_000
-#: Columns that a search for the widest record can meet.
-MOST_COLUMNS = 1 << 20
 
 
 def write_csv(df: DataFrame, path: str, folders: list[str], salt: Column, order: list[str], n_rows: int, n_folders: int) -> None:
@@ -184,47 +183,23 @@ def write_csv(df: DataFrame, path: str, folders: list[str], salt: Column, order:
 
 
 def csv_width(spark, path: str) -> int:
-    """Fields of the widest record of a folder of CSV files: separators outside quoted fields, plus one.
+    """Fields of the widest record of a folder of CSV files, 1 without records."""
+    return csv_records(spark, path).agg(F.max(F.size("cells"))).first()[0] or 1
 
-    The CSV reader gives the text of every record of more fields than one, as it streams through a
-    file, so no value is larger than a record.  A quote that does not open a field hides no separator.
-    """
-    got = (spark.read.schema("c0 string, _record string").option("header", False).option("multiLine", True).option("escape", '"')
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_record").option("maxColumns", MOST_COLUMNS).csv(path))
-    outside = F.regexp_replace("_record", r'(?<![^,"\r\n])"[^"]*+"', "")
-    width = F.length(outside) - F.length(F.replace(outside, F.lit(","), F.lit(""))) + 1
-    # the first field is read too: Spark refuses to read records' texts alone
-    most = got.agg(F.max(F.when(F.col("_record").isNotNull() | F.col("c0").isNotNull(), F.coalesce(width, F.lit(1))))).first()[0]
-    return max(1, most or 1)
 
-
-def grid_scan(spark, path: str, min_cols: int = 1) -> DataFrame:
+def grid_scan(spark, path: str) -> DataFrame:
     """A folder of CSV sheet exports -> grid rows, no header, all text.
 
-    A first aggregate over the files finds the widest record; the explicit schema of that
-    width keeps every cell of every row (an inferred one takes one row's width, and a
-    narrower one drops cells).  ``multiLine`` makes each file one
-    unsplit task, so ``monotonically_increasing_id`` follows file order and
-    serves as ``row_idx`` (ordered, not dense) with no shuffle; exports of many
-    gigabytes should come as several files.  ``file`` is
+    Files are dealt to tasks by byte ranges and read once, whatever their width and with line breaks in quoted fields
+    (:mod:`tallybook.operators.csvscan`).  ``row_idx`` follows file order (ordered, not dense).  ``file`` is
     the file's path and ``sheet`` its name without extension; partition
     columns of the folder layout are kept (``part_<name>`` when the name is
     taken)."""
-    n = max(min_cols, csv_width(spark, path))
-    schema = ", ".join(f"c{i} string" for i in range(n))
-    df = (spark.read.schema(schema).option("header", False).option("multiLine", True).option("maxColumns", n + 1)
-               .option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-               .withColumn("file", F.col("_metadata.file_path"))
-               .withColumn("row_idx", F.monotonically_increasing_id()))
-    parts = [c for c in df.columns if c not in {f"c{i}" for i in range(n)} | {"file", "row_idx"}]
-    cells = F.array(*[F.col(f"c{i}") for i in range(n)])
-    last = F.aggregate(F.transform(cells, lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0)),
-                       F.lit(0), lambda a, b: F.greatest(a, b))
+    df = csv_records(spark, path).withColumnRenamed("at", "row_idx")
     taken = {"file", "sheet", "sheet_idx", "row_idx", "cells"}
-    part_cols = [F.col(c).alias("part_" + c if c in taken else c) for c in parts]
+    parts = [F.col(f"folder.`{c}`").alias("part_" + c if c in taken else c) for c in (df.schema["folder"].dataType.names if "folder" in df.columns else ())]
     return df.select("file", F.regexp_extract("file", r"([^/]*?)(\.[^./]*)?$", 1).alias("sheet"),
-                     F.lit(0).alias("sheet_idx"), "row_idx", *part_cols,
-                     F.slice(cells, 1, F.greatest(last, F.lit(1))).alias("cells"))
+                     F.lit(0).alias("sheet_idx"), "row_idx", *parts, "cells")
 
 
 def file_catalog(spark, path: str) -> DataFrame:
