@@ -1,10 +1,10 @@
 """Free SQL over one tenant's ledgers (Q1-Q3).
 
 The reference lets a model write SQL and only asks it, in the prompt, to
-filter by user (B11).  Here the text is parsed before it runs: only a query
-whose relations are the tenant's views, its own CTEs or a few harmless table
-functions is accepted, in a session of its own where no file can be named in
-FROM.  An error, at analysis or at run time, becomes a one-row ``error``
+filter by user (B11).  Here the text is analysed before it runs, in a session of its own where
+no file can be named in FROM, and accepted by what it reads: every leaf of the analysed plan is one of
+the tenant's views, a CTE, literal rows or a range, and every function is one of Spark's own that stays
+inside the query.  An error, at analysis or at run time, becomes a one-row ``error``
 result, as in the reference.
 """
 
@@ -36,11 +36,11 @@ MEANINGS = {
 }
 RELATIONS = {t: f"{t}.project_id = projects.id" for t in QUERY_TABLES[1:]}
 
-# What a tenant's text may call and name besides views and CTEs.
-TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack"}
-BARRED_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
-_LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
-_ACTIONS = ("Command", "ParsedStatement", "InsertIntoDir")
+# What an analysed query may read besides the tenant's views, and the functions that reach outside of it.
+LEAVES = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef"}
+BARRED = {"CallMethodViaReflection", "TryReflect", "ScalaUDF", "PythonUDF", "PythonUDTF", "PythonUDAF", "ScalaAggregator", "InputFileName",
+          "InputFileBlockStart", "InputFileBlockLength"}
+OWN_FUNCTIONS = "org.apache.spark.sql.catalyst."
 
 
 def schema_text(spark: SparkSession) -> DataFrame:
@@ -67,10 +67,14 @@ def schema_prompt(spark: SparkSession) -> str:
 def tenant_views(views: dict[str, DataFrame], user_id) -> dict[str, DataFrame]:
     """Q2: every ledger limited to one user (None: all users, for admin jobs).
 
-    ``user_id`` may be a column of each view, as in a job over all tenants at once.
+    ``user_id`` may be a table with a ``user_id`` column: the ledgers of all its users at once, for a job over many tenants.
+    A row without a user belongs to no tenant.
     """
     if user_id is None:
         return dict(views)
+    if isinstance(user_id, DataFrame):
+        users = user_id.select("user_id")
+        return {n: df.join(users, "user_id", "left_semi").select(*df.columns) for n, df in views.items()}
     return {n: df.filter(F.col("user_id") == F.lit(str(user_id))) for n, df in views.items()}
 
 
@@ -88,41 +92,57 @@ def _items(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
-def _nodes(plan) -> Iterator:
-    """A parsed plan's nodes, those of CTEs and subqueries included."""
-    yield plan
+def _sources(plan, views: set[str]) -> Iterator:
+    """What an analysed plan reads, CTEs and subqueries included; the tenant's views are not opened."""
+    if plan.getClass().getSimpleName() == "View":
+        name = plan.desc().identifier()
+        if not (plan.isTempView() and name.database().isEmpty() and name.table().lower() in views):
+            yield plan
+        return
+    below = [c for group in (plan.children(), plan.innerChildren(), plan.subqueries()) for c in _items(group) if hasattr(c, "subqueries")]
+    if not below and plan.children().isEmpty():
+        yield plan
+    for child in below:
+        yield from _sources(child, views)
+
+
+def _functions(plan, views: set[str]) -> Iterator:
+    """Every expression of an analysed plan outside the tenant's views."""
+    if plan.getClass().getSimpleName() == "View":
+        return
+    waiting = _items(plan.expressions())
+    while waiting:
+        e = waiting.pop()
+        yield e
+        waiting += _items(e.children())
     for group in (plan.children(), plan.innerChildren(), plan.subqueries()):
         for child in _items(group):
             if hasattr(child, "subqueries"):
-                yield from _nodes(child)
+                yield from _functions(child, views)
 
 
-def refusal(session: SparkSession, sql: str, views) -> str | None:
-    """Why ``sql`` may not run over ``views``; None when it may."""
-    jvm = session.sparkContext._jvm
-    plan = session._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    actions = [jvm.java.lang.Class.forName(_LOGICAL + a) for a in _ACTIONS]
-    nodes = list(_nodes(plan))
+def analysed(session: SparkSession, sql: str, views) -> tuple[str | None, object]:
+    """Why ``sql`` may not run over ``views`` (None when it may), and its analysed plan, which is what runs.
+
+    Only a query is analysed at all.  It is judged by what its names have been resolved to, so it does not matter how a
+    name is spelt, hidden by a CTE of another scope, or made by IDENTIFIER().
+    """
+    state, jvm = session._jsparkSession.sessionState(), session.sparkContext._jvm
+    try:
+        parsed = state.sqlParser().parseQuery(sql)
+    except PySparkException:
+        state.sqlParser().parsePlan(sql)    # a statement of another kind, or the syntax error itself
+        return NOT_A_QUERY, None
+    plan = state.executePlan(parsed, jvm.org.apache.spark.sql.execution.CommandExecutionMode.SKIP()).analyzed()
     names = {v.lower() for v in views}
-    for n in nodes:
-        if n.getClass().getSimpleName() == "UnresolvedWith":
-            names |= {c._1().lower() for c in _items(n.cteRelations())}
-    for n in nodes:
-        kind = n.getClass().getSimpleName()
-        if any(a.isInstance(n) for a in actions):
-            return NOT_A_QUERY
-        if kind == "UnresolvedRelation":
-            parts = _items(n.multipartIdentifier())
-            if len(parts) != 1 or parts[0].lower() not in names:
-                return f"table {'.'.join(parts)} is not one of {', '.join(sorted(views))}"
-        if kind == "UnresolvedTableValuedFunction" and ".".join(_items(n.name())).lower() not in TABLE_FUNCTIONS:
-            return "this table function is not allowed"
-        if kind.startswith("Relation") and "Unresolved" in kind and kind != "UnresolvedRelation":
-            return NOT_A_QUERY
-        text = n.expressions().toString().lower()
-        if any(f"'{f}(" in text or f"{f}(" in text for f in BARRED_FUNCTIONS):
-            return "this function is not allowed"
-    return None
+    for leaf in _sources(plan, names):
+        if leaf.getClass().getSimpleName().removesuffix("$") not in LEAVES:
+            return f"only {', '.join(sorted(views))} may be read", None
+    for e in _functions(plan, names):
+        kind = e.getClass()
+        if kind.getSimpleName() in BARRED or not kind.getName().startswith(OWN_FUNCTIONS):
+            return "this function is not allowed", None
+    return None, plan
 
 
 def _error(spark: SparkSession, msg: str) -> DataFrame:
@@ -144,7 +164,10 @@ def run_sql(spark: SparkSession, sql: str, build_views: Callable[[SparkSession],
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     try:
-        why = refusal(session, sql or "", views)
-        return _error(session, why) if why else cut_lineage(session.sql(sql))
+        why, plan = analysed(session, sql or "", views)
+        if why:
+            return _error(session, why)
+        rows = session.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan)
+        return cut_lineage(DataFrame(rows, session))
     except (PySparkException, Py4JError) as e:
         return _error(session, str(e).split("\n")[0])

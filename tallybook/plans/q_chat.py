@@ -225,8 +225,9 @@ UNION ALL SELECT user_id, 'material_costs', COUNT(*) FROM material_costs WHERE u
 UNION ALL SELECT user_id, 'payment_milestones', COUNT(*) FROM payment_milestones WHERE user_id IS NOT NULL GROUP BY 1""",
                                        "projects", "labor_costs", "material_costs", "payment_milestones"))
 def tenant_views(spark, sf_dir):
-    """Q2: rows of each ledger that each tenant's views hold."""
-    return FS.visible_rows(FS.tenant_views(_views(sf_dir)(spark), None))
+    """Q2: rows of each ledger that each tenant's views hold, for all users with a project."""
+    views = _views(sf_dir)(spark)
+    return FS.visible_rows(FS.tenant_views(views, views["projects"].select("user_id").distinct()))
 
 
 TENANT_SQL = """SELECT p.id, p.name, COUNT(l.project_id) AS n_labor FROM projects p
