@@ -41,4 +41,5 @@ def load_all() -> None:
         q_messages,
         q_stream,
         q_store,
+        q_ledger,
     )
