@@ -41,8 +41,11 @@ def cond_sum(cond: Column, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, value).otherwise(F.lit(0))), F.lit(0))
 
 
-def child_totals(labor: DataFrame, material: DataFrame, milestones: DataFrame) -> DataFrame:
-    """Per-project sums and row counts of the three children, one shuffle."""
+def child_totals(labor: DataFrame, material: DataFrame, milestones: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """Per-project sums and row counts of the three children, one shuffle.
+
+    With ``projects``, all four ledgers are bucketed by project: each child is aggregated where it lies and the sums are joined there,
+    while a union would lose their partitioning."""
     status = F.col("status")
     amount = F.col("amount")
     lab = labor.select("project_id",
@@ -55,6 +58,15 @@ def child_totals(labor: DataFrame, material: DataFrame, milestones: DataFrame) -
                             F.when(status == "received", amount).otherwise(F.lit(0)).alias("recv_amt"),
                             F.when(status == "pending", amount).otherwise(F.lit(0)).alias("pend_amt"),
                             F.lit(1).alias("n_ms"))
+    if projects is not None:
+        some = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+        ls = lab.groupBy("project_id").agg(F.sum("labor_amt").alias("labor_sum"), F.sum("unpaid_amt").alias("unpaid_sum"), F.count("n_l").alias("n_l"))
+        ms = mat.groupBy("project_id").agg(F.sum("material_amt").alias("material_sum"), F.count("n_m").alias("n_m"))
+        rs = mil.groupBy("project_id").agg(F.sum("recv_amt").alias("recv_sum"), F.sum("pend_amt").alias("pend_sum"), F.count("n_ms").alias("n_ms"))
+        # a row per project from every child, so that each child joins from the left and buckets stay known
+        every = projects.select(F.col("id").alias("project_id"))
+        both = every.join(ls, "project_id", "left").join(ms, "project_id", "left").join(rs, "project_id", "left")
+        return both.select("project_id", "labor_sum", "unpaid_sum", "material_sum", "recv_sum", "pend_sum", some("n_l"), some("n_m"), some("n_ms"))
     u = lab.unionByName(mat, allowMissingColumns=True).unionByName(mil, allowMissingColumns=True)
     return u.groupBy("project_id").agg(
         F.sum("labor_amt").alias("labor_sum"),
@@ -109,12 +121,12 @@ def project_totals(projects: DataFrame, labor: DataFrame, material: DataFrame,
 
 
 def project_list(projects: DataFrame, labor: DataFrame, material: DataFrame,
-                 milestones: DataFrame, user_id=None, mode: str = "exact") -> DataFrame:
+                 milestones: DataFrame, user_id=None, mode: str = "exact", colocated: bool = False) -> DataFrame:
     """J2 (exact) / J1 (reference): every project of a user (or of all users)
-    with labour, material, received and estimated profit."""
+    with labour, material, received and estimated profit; ``colocated``: all four ledgers are bucketed by project."""
     p = _tenant(projects, user_id)
     t = child_totals(_tenant(labor, user_id), _tenant(material, user_id),
-                     _tenant(milestones, user_id))
+                     _tenant(milestones, user_id), p if colocated else None)
     j = _with_totals(p, t, mode)
     return j.select(
         "id", "user_id", "name", "client_name",
@@ -145,14 +157,14 @@ def margin_text(margin: Column, contract: Column) -> Column:
 
 def project_summary(projects: DataFrame, labor: DataFrame, material: DataFrame,
                     milestones: DataFrame, user_id=None, project_id=None,
-                    mode: str = "exact") -> DataFrame:
+                    mode: str = "exact", colocated: bool = False) -> DataFrame:
     """A1 (exact) / A2 (reference): contract, costs, profit, margin, received,
     pending and unpaid labour per project; one project when ``project_id`` and
-    ``user_id`` are given (no row when it is not theirs)."""
+    ``user_id`` are given (no row when it is not theirs); ``colocated``: all four ledgers are bucketed by project."""
     p = _tenant(projects, user_id, "id", project_id)
     t = child_totals(_tenant(labor, user_id, "project_id", project_id),
                      _tenant(material, user_id, "project_id", project_id),
-                     _tenant(milestones, user_id, "project_id", project_id))
+                     _tenant(milestones, user_id, "project_id", project_id), p if colocated else None)
     j = _with_totals(p, t, mode)
     total_cost = F.col("labor_total") + F.col("material_total")
     profit = F.col("contract_value") - total_cost
