@@ -47,7 +47,20 @@ def keep(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
     df.write.parquet(path)
     if _scope:
         _scope[-1].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def let_go(*frames: DataFrame) -> None:
+    """Deletes tables of :func:`keep` that no later step reads; others are left alone."""
+    for df in frames:
+        path = vars(df).get("kept_path")
+        if path:
+            drop_kept(df.sparkSession, [path])
+            for paths in _scope:
+                if path in paths:
+                    paths.remove(path)
 
 
 def keep_pieces(spark, frames: Iterable[DataFrame], ddl: str, name: str) -> DataFrame:

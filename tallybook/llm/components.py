@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import keep
+from tallybook.llm.common import keep, let_go
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,13 +29,17 @@ def components(edges: DataFrame) -> DataFrame:
         moves = keep(both.select("u", first("v").alias("f")).groupBy("u").agg(F.min("f").alias("f"))
                      .select("u", F.least("f", first("u"))["to"].alias("r")), "moves", 2 * size)
         step = lambda side: moves.select(F.col("u").alias(f"u_{side}"), F.col("r").alias(f"r_{side}"))  # noqa: B023, E731
+        before = live
         live = keep(tidy(live.join(step("a"), F.col("a") == F.col("u_a")).join(step("b"), F.col("b") == F.col("u_b"))
                          .select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))), "edges", size)
+        let_go(before)
         if joined is None:
-            joined, nodes = moves.select(F.col("u").alias("node"), F.col("r").alias("root")), 2 * size
+            joined, nodes, used = moves.select(F.col("u").alias("node"), F.col("r").alias("root")), 2 * size, moves
         else:
             joined = keep(joined.join(moves, F.col("root") == F.col("u"), "left")
                           .select("node", F.coalesce("r", "root").alias("root")), "roots", nodes)
+            let_go(used, moves)
+            used = joined
         turn += 1
     if joined is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))

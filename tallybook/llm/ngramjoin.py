@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from tallybook.llm.common import batches, keep, keep_placed, small_or_shuffled
+from tallybook.llm.common import batches, keep, keep_placed, let_go, small_or_shuffled
 from tallybook.llm.components import components
 
 CHUNK = 400_000
@@ -166,22 +166,28 @@ def linked(df: DataFrame, *, percent: int, k: int, id_col: str = "doc_id", text_
         raise ValueError("percent must be over 50 and at most 100")
     part = percent / 100
     most_lost = F.floor(F.col("n") * (100 - percent) / 100)
-    rows = keep(set_table(df, id_col, text_col, k, min(1.0, max(0.05, 1.6 * (1 - part)))), "grams")
+    whole = keep(set_table(df, id_col, text_col, k, min(1.0, max(0.05, 1.6 * (1 - part)))), "grams")
     # grams that no other set has, among those of the share
-    lonely = (rows.select("hi", F.explode("low").alias("g")).groupBy("g").agg(F.min("hi").alias("hi"), F.max("hi").alias("top"))
+    lonely = (whole.select("hi", F.explode("low").alias("g")).groupBy("g").agg(F.min("hi").alias("hi"), F.max("hi").alias("top"))
               .filter("hi = top").groupBy("hi").agg(F.count(F.lit(1)).alias("own")))
-    sets = rows.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    sets = whole.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
     sets = keep(sets.join(lonely, "hi", "left").withColumn("open", F.coalesce("own", F.lit(0)) <= most_lost)
                 .select("hi", "lo", "n", "least", "open"), "sets")
+    rows = keep(whole.drop("low"), "rows")
+    let_go(whole)
     open_sets = sets.filter("open").select("hi", "lo")
     full = (whole_sets(df, text_col, k, filter_bits(open_sets)).dropDuplicates(["hi", "lo"])
             .join(open_sets, ["hi", "lo"], "left_semi"))
     full = keep(full.withColumn("uid", F.monotonically_increasing_id()), "open-sets")
-    entries = keep(postings(full, percent), "postings")
+    entries = postings(full, percent)
     edges = keep(verified(star_pairs(entries, percent), full, percent), "links")
     known = components(edges)
-    more = verified(cross_pairs(entries, known, percent), full, percent)
-    found = components(edges.unionByName(keep(more, "links")))
+    mixed = mixed_entries(entries, known)
+    let_go(entries)
+    more = keep(verified(cross_pairs(mixed, percent), full, percent), "links")
+    let_go(mixed)
+    found = keep(components(edges.unionByName(more)), "components")
+    let_go(edges, more)
     named = (full.select("uid", "hi", "lo").join(found, F.col("uid") == F.col("node")).select("hi", "lo", "component")
              .join(sets.select("hi", "lo", "least"), ["hi", "lo"]))
     least = keep(named.groupBy("component").agg(F.min("least").alias("smallest")), "least")
@@ -189,7 +195,7 @@ def linked(df: DataFrame, *, percent: int, k: int, id_col: str = "doc_id", text_
         named.join(least, "component").select("hi", "lo", "smallest"), ["hi", "lo"], "left")
         .select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.coalesce("smallest", "least").alias("_c")), "final")
     same = (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))
-    return rows.drop("low").join(small_or_shuffled(final), same, "left").select(
+    return rows.join(small_or_shuffled(final), same, "left").select(
         "id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("_c")).otherwise(F.col("id")).alias("component_id"))
 
@@ -219,11 +225,14 @@ def postings(full: DataFrame, percent: int) -> DataFrame:
               .select("uid", "n", "own", F.slice("s", F.lit(1), lost + 1 - F.col("own")).alias("s"))
               .select("uid", "n", "own", F.col("s.g").alias("prefix")))
     prefix = keep(prefix, "prefixes")
+    let_go(shared)
     groups = keep(prefix.groupBy("n", "own", "prefix").agg(F.min("uid").alias("gid"))
                   .select(F.col("n").alias("_n"), F.col("own").alias("_own"), F.col("prefix").alias("_p"), "gid"), "prefix-groups")
     same = (F.col("n") == F.col("_n")) & (F.col("own") == F.col("_own")) & (F.col("prefix") == F.col("_p"))
-    return (prefix.join(groups, same).select("uid", "gid", "n", "own", F.posexplode("prefix").alias("at", "g"))
-            .select("g", "gid", "uid", "n", "own", (F.col("at") + F.col("own")).alias("i")))
+    out = keep(prefix.join(groups, same).select("uid", "gid", "n", "own", F.posexplode("prefix").alias("at", "g"))
+               .select("g", "gid", "uid", "n", "own", (F.col("at") + F.col("own")).alias("i")), "postings")
+    let_go(prefix, groups)
+    return out
 
 
 def _possible(x: str, y: str, percent: int):
@@ -253,13 +262,19 @@ def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
             .unionByName(members.filter("uid <> gid").select(F.col("uid").alias("a"), F.col("gid").alias("b"))).distinct())
 
 
-def cross_pairs(entries: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members that share a list, satisfy the bounds and lie in different components so far."""
+def mixed_entries(entries: DataFrame, known: DataFrame) -> DataFrame:
+    """Entries, with their component so far, of lists that hold several components."""
     own = keep(entries.join(known, F.col("uid") == F.col("node"), "left")
                .select("g", "uid", "n", "own", "i", F.coalesce("component", "uid").alias("c")), "entries")
     several = keep(own.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
                    .select(F.col("g").alias("_g")), "several")
     mixed = keep(own.join(several, F.col("g") == F.col("_g"), "left_semi"), "mixed")
+    let_go(own, several)
+    return mixed
+
+
+def cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members that share a list, satisfy the bounds and lie in different components so far."""
     return (mixed.alias("x").join(mixed.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.uid") < F.col("y.uid"))
                                   & (F.col("x.c") != F.col("y.c")) & _possible("x", "y", percent))
             .select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct())
