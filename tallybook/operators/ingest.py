@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallybook import schemas as S
 from tallybook.operators import grid as G
@@ -21,6 +22,7 @@ from tallybook.session import store
 # The reference's report texts.
 SKIP_REASON = "ไม่สามารถระบุประเภทข้อมูลได้"
 BAD_VALUE_REASON = "ค่าตัวเลขไม่ถูกต้อง"
+EMPTY_REASON = "ไม่พบข้อมูลใน Excel นี้"
 IMPORT_SOURCE = "excel_import"
 
 
@@ -70,12 +72,15 @@ def failed_sheets(typed: DataFrame) -> DataFrame:
 def ledger_rows(typed: DataFrame, imports: DataFrame, table_type: str, on_bad: str = "null") -> DataFrame:
     """Rows of one table type in the ledger's columns: a stable id
     (hash of file, sheet, row), project and user of the import, source
-    ``excel_import``; unmapped columns take the store's defaults.  With
+    ``excel_import``; unmapped columns take the store's defaults.  A type outside the three is a table of its own name,
+    with every standard field (null where unmapped).  With
     ``on_bad='fail_sheet'`` no row of a failed sheet is loaded, as its report says."""
     if on_bad == "fail_sheet":
         typed = typed.join(failed_sheets(typed.filter(F.col("table_type") == table_type)), G.SHEET, "left_anti")
     table = S.TABLE_OF_TYPE.get(table_type, table_type)
-    schema = S.LEDGERS[table]
+    schema = S.LEDGERS.get(table) or T.StructType(
+        [T.StructField(n, T.StringType()) for n in ("id", "project_id", "user_id")]
+        + [typed.schema[n] for n in S.ALL_FIELDS] + [T.StructField("source", T.StringType()), T.StructField("created_at", T.TimestampType())])
     defaults = S.DEFAULTS.get(table, {})
     rows = typed.filter(F.col("table_type") == table_type).join(imports, "file", "inner")
     out = []
@@ -133,6 +138,16 @@ def import_report(imported: Imported, imports: DataFrame, prior: DataFrame | Non
                     "n_bad")
 
 
+def file_errors(grid: DataFrame, imports: DataFrame) -> DataFrame:
+    """A report row for every uploaded file in which no sheet holds a cell (blank sheets, or none at all)."""
+    with_data = grid.filter(F.exists("cells", lambda x: x.isNotNull())).select("file").distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    return imports.join(with_data, "file", "left_anti").select(
+        "file", none("string").alias("sheet"), none("string").alias("table_type"), F.lit("error").alias("status"),
+        F.lit(EMPTY_REASON).alias("reason"), F.lit(0).cast("long").alias("rows_loaded"), none("long").alias("rows_total"),
+        F.lit(0).cast("long").alias("n_bad"))
+
+
 def upload_totals(report: DataFrame) -> DataFrame:
     """A5: per file, successful sheets, other sheets and total rows (the UI sums
     the per-sheet ``rows_total``)."""

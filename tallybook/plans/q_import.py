@@ -17,6 +17,7 @@ from tallybook.plans.catalog import register
 from tallybook.plans.oracle import money
 from tallybook.sources import sheets as SH
 from tallybook.sources.stored import stored
+from tallybook.sources.tables import table
 
 
 def _grid(spark, sf_dir):
@@ -264,3 +265,25 @@ def preview(spark, sf_dir):
     """First sheet of every file: header row and the next 10 rows."""
     p = G.preview(_grid(spark, sf_dir))
     return p.select("file", "sheet", "line", F.array_join("cells", "|").alias("cells_text"))
+
+
+def _with_empty_files(spark, sf_dir):
+    """The workbooks and, for urgent orders, an empty upload: a blank sheet where the order is open, no sheet at all otherwise."""
+    o = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
+    name = F.concat(F.lit("Empty#"), F.col("o_orderkey").cast("string"), F.lit(".xlsx"))
+    g = _grid(spark, sf_dir)
+    blank = o.filter("o_orderstatus = 'O'").select(name.alias("file"), F.lit("Sheet1").alias("sheet"), F.lit(0).cast(g.schema["sheet_idx"].dataType).alias("sheet_idx"),
+                                                   F.lit(0).cast(g.schema["row_idx"].dataType).alias("row_idx"),
+                                                   F.array(F.lit(None).cast("string"), F.lit(None).cast("string")).alias("cells"))
+    uploads = o.select(name.alias("file"), F.col("o_orderkey").cast("string").alias("project_id"), F.col("o_custkey").cast("string").alias("user_id"))
+    return g.select("file", "sheet", "sheet_idx", "row_idx", "cells").unionByName(blank), SH.imports(spark, sf_dir).unionByName(uploads)
+
+
+@register("import_file_errors", """SELECT 'Empty#' || CAST(o_orderkey AS VARCHAR) || '.xlsx' AS file, 'error' AS status, 'ไม่พบข้อมูลใน Excel นี้' AS reason, 0 AS rows_loaded
+FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION ALL
+SELECT 'Project#' || CAST(o_orderkey AS VARCHAR) || '.xlsx', 'error', 'ไม่พบข้อมูลใน Excel นี้', 0
+FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+def import_file_errors(spark, sf_dir):
+    """Uploaded files without any data, among all workbooks."""
+    return ingest.file_errors(*_with_empty_files(spark, sf_dir)).select("file", "status", "reason", "rows_loaded")
