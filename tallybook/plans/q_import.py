@@ -283,7 +283,8 @@ def _with_empty_files(spark, sf_dir):
 FROM orders WHERE o_orderpriority = '1-URGENT'
 UNION ALL
 SELECT 'Project#' || CAST(o_orderkey AS VARCHAR) || '.xlsx', 'error', 'ไม่พบข้อมูลใน Excel นี้', 0
-FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+FROM orders -- a workbook has a sheet per kind of line, and a summary sheet for pending orders
+WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) AND o_orderstatus IS DISTINCT FROM 'P'""")
 def import_file_errors(spark, sf_dir):
     """Uploaded files without any data, among all workbooks."""
     return ingest.file_errors(*_with_empty_files(spark, sf_dir)).select("file", "status", "reason", "rows_loaded")
