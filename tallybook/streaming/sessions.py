@@ -1,50 +1,83 @@
-"""ST6: per-conversation history kept in streaming state, last ``k`` messages.
+"""ST6: per-conversation history on a stream, the last ``k`` messages: a merge-on-read table of tails.
 
-State per conversation is a bounded list (at most ``k`` turns) and a version.
-A micro-batch that touches a conversation emits its whole new tail under
-the next version; :func:`tails` reads the latest version of each conversation.
+A micro-batch writes the last ``k`` turns that it holds of each conversation, under its own
+batch number, so a retried batch replaces its own rows.  A conversation's tail is the last
+``k`` of what its batches wrote: the tail of a union lies in the union of tails.  Every
+``merge_every`` batches the rows written since are merged with the last base into a new base,
+so that a reader opens one base and fewer than ``merge_every`` batches, and no state grows in memory.
+All steps are the skew-safe first-k of the batch query; Python sees no row.
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tallybook.operators.chatlog import HISTORY_KEPT
+from tallybook.operators.chatlog import HISTORY_KEPT, history_tail
+
+OUT_SCHEMA = "conv_id long, turn long, role string, text string"
+MERGE_EVERY = 8
+
 
-OUT_SCHEMA = "conv_id long, version long, turn long, role string, text string"
-STATE_SCHEMA = "tail string, version long"
+def _base_before(batch_id: int, every: int) -> int:
+    """The last batch before ``batch_id`` after which a base was written; -1 for none."""
+    return batch_id // every * every - 1
 
 
-def _keeper(k: int):
-    def keep(key, pdfs, state):
-        tail, version = state.get if state.exists else ("[]", 0)
-        rows = [tuple(r) for r in json.loads(tail)]
-        for pdf in pdfs:
-            rows += list(zip(pdf["turn"].astype("int64"), pdf["role"], pdf["text"]))
-            rows = sorted(rows, key=lambda r: r[0])[-k:]  # stay bounded while reading
-        state.update((json.dumps([[int(t), r, x] for t, r, x in rows]), version + 1))
-        n = len(rows)
-        yield pd.DataFrame({"conv_id": [int(key[0])] * n, "version": [version + 1] * n, "turn": [int(r[0]) for r in rows],
-                            "role": [r[1] for r in rows], "text": [r[2] for r in rows]})
-    return keep
+def _merged(spark: SparkSession, out_dir: str, batch_id: int, every: int, k: int) -> DataFrame:
+    """The tails after the batches before ``batch_id``: the base and what was written since."""
+    base = _base_before(batch_id, every)
+    paths = [f"{out_dir}/base/{base}"] if base >= 0 else []
+    paths += [f"{out_dir}/tails/{b}" for b in range(base + 1, batch_id)]
+    rows = spark.read.schema(OUT_SCHEMA).parquet(*paths) if paths else spark.range(0).select(
+        *[F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in OUT_SCHEMA.split(", "))])
+    return rows if len(paths) < 2 else history_tail(rows, k)
 
 
-def start(spark: SparkSession, conv_dir: str, schema, out_dir: str, k: int = HISTORY_KEPT, files_per_batch: int = 64):
+def start(spark: SparkSession, conv_dir: str, schema, out_dir: str, k: int = HISTORY_KEPT, files_per_batch: int = 64,
+          merge_every: int = MERGE_EVERY):
+    asked, noted = (k, merge_every), settings(spark, out_dir)
+    if noted not in (None, asked):
+        raise ValueError(f"the table holds the last {noted[0]} messages, merged every {noted[1]} batches: {out_dir}")
+    if noted is None:
+        spark.range(1).select(F.lit(k).alias("k"), F.lit(merge_every).alias("every")).write.parquet(f"{out_dir}/settings")
     conv = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(conv_dir)
-    out = conv.groupBy("conv_id").applyInPandasWithState(
-        _keeper(k), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    return (out.writeStream.format("parquet").option("path", f"{out_dir}/tails")
-               .option("checkpointLocation", f"{out_dir}/_checkpoint")
-               .outputMode("append").trigger(availableNow=True).start())
+
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        rows = batch.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+        if (batch_id + 1) % merge_every == 0:
+            # before the batch's own rows, so that a batch that counts as done has its base
+            old = _merged(session, out_dir, batch_id, merge_every, k)
+            history_tail(old.unionByName(history_tail(rows, k)), k).write.mode("overwrite").parquet(f"{out_dir}/base/{batch_id}")
+        history_tail(rows, k).write.mode("overwrite").parquet(f"{out_dir}/tails/{batch_id}")
+
+    return (conv.writeStream.foreachBatch(each_batch)
+                .option("checkpointLocation", f"{out_dir}/_checkpoint")
+                .trigger(availableNow=True).start())
+
+
+def _found(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders that match ``pattern`` and were written whole, by name."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    return [f.getPath().getParent().getName() for f in found or ()]
+
+
+def settings(spark: SparkSession, out_dir: str) -> tuple[int, int] | None:
+    """``k`` and ``merge_every`` of the table, noted when its stream first starts; None before."""
+    if not _found(spark, f"{out_dir}/settings"):
+        return None
+    row = spark.read.schema("k int, every int").parquet(f"{out_dir}/settings").first()
+    return row.k, row.every
+
+
+def batches_done(spark: SparkSession, out_dir: str) -> int:
+    """How many micro-batches were written whole; they are numbered from 0 without gaps."""
+    return max((int(name) + 1 for name in _found(spark, f"{out_dir}/tails/*")), default=0)
 
 
 def tails(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The current tail of every conversation."""
-    rows = spark.read.schema(OUT_SCHEMA).parquet(f"{out_dir}/tails")
-    latest = rows.groupBy("conv_id").agg(F.max("version").alias("version"))
-    return rows.join(latest, ["conv_id", "version"], "left_semi").drop("version")
+    """The current tail of every conversation (read between batches); empty where no stream has run."""
+    k, every = settings(spark, out_dir) or (HISTORY_KEPT, MERGE_EVERY)
+    return _merged(spark, out_dir, batches_done(spark, out_dir), every, k)

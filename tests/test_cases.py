@@ -185,3 +185,37 @@ def test_chunk_only_long(spark, text, n):
     got = DC.chunk_text(df).collect()
     assert [r.chunk for r in got if r.doc_id == 2] == ["short", "lines"]
     assert len([r for r in got if r.doc_id == 1]) == n and all(r.doc_id != 3 for r in got)
+
+
+def test_tails_over_many_batches_and_a_repeated_one(spark):
+    """Tails over bases and loose batches, in batches of any order of turns, and after a batch that is written again."""
+    src, out = folder(spark), run_folder(spark, "cases")
+    schema = "conv_id long, turn int, role string, text string"
+    turns = [(c, t, "user", f"t{c}-{t}") for t in range(14) for c in range(3) if t % (c + 1) == 0]
+    for i in range(7):
+        put(spark, src, turns[i::7], schema)
+    await_query(SS.start(spark, src, schema, out, k=4, files_per_batch=1, merge_every=3), 300)
+    assert SS.batches_done(spark, out) == 7
+    want = sorted(r for c in range(3) for r in [x for x in turns if x[0] == c][-4:])
+    assert sorted(map(tuple, SS.tails(spark, out).collect())) == want
+    again = spark.read.schema(SS.OUT_SCHEMA).parquet(f"{out}/tails/6")
+    rows = again.collect()
+    spark.createDataFrame(rows, SS.OUT_SCHEMA).write.mode("overwrite").parquet(f"{out}/tails/6")
+    assert sorted(map(tuple, SS.tails(spark, out).collect())) == want
+    with pytest.raises(ValueError):
+        SS.start(spark, src, schema, out, k=5, merge_every=3)
+    none = run_folder(spark, "cases")
+    assert SS.tails(spark, none).count() == 0
+
+
+def test_message_stream_with_stored_replies(spark):
+    src, out = folder(spark), run_folder(spark, "cases")
+    put(spark, src, [("a", "u1", body(("hello there", "r1"), (BUY.format(2), "r2"), ("again", "r3")))],
+        "payload_id string, user_id string, body string")
+    projects = spark.createDataFrame(PROJECTS, "id string, user_id string, name string")
+    replies = spark.createDataFrame([("a", 0, '{"type":"record_labor","worker_name":"W","total_amount":5}'), ("a", 2, "no json"),
+                                     ("zz", 0, "{}")], "payload_id string, event_idx int, model_reply string")
+    await_query(SM.start(spark, src, "payload_id string, user_id string, body string", projects, out, replies=replies), 300)
+    got = {r.reply_token: (r.route, r.reply) for r in spark.read.parquet(f"{out}/replies").collect()}
+    assert got["r1"][0] == "reject" and got["r2"][0] == "material_costs"
+    assert got["r3"] == ("error", MS.ERROR_TEXT + "not a JSON object: no json")
