@@ -23,15 +23,15 @@ def unpaid_labor(labor: DataFrame, by=("user_id",)) -> DataFrame:
 
 
 def pending_milestones(milestones: DataFrame, projects: DataFrame) -> DataFrame:
-    """Milestones not yet received, with their project, by due date."""
+    """Milestones not yet received, with their project and due date, for every user.  The rows have no order:
+    one user's few are sorted where they are read (``orderBy("due_date", "project_id", "milestone_name")``)."""
     pend = milestones.filter(F.col("status") == "pending")
     p = projects.select(F.col("id").alias("pid"), F.col("user_id").alias("owner"),
                         F.col("name").alias("project"))
     j = pend.join(p, pend.project_id == p.pid, "inner")
     return (j.select(F.col("owner").alias("user_id"), "project_id", "project", "milestone_name",
                      money("amount").alias("amount"),
-                     F.col("due_date").cast("string").alias("due_date"))
-             .orderBy("user_id", "due_date", "project_id", "milestone_name"))
+                     F.col("due_date").cast("string").alias("due_date")))
 
 
 def month_bounds(as_of):
