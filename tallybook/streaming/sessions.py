@@ -14,19 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.operators.chatlog import HISTORY_KEPT, history_tail
+from tallybook.streaming.runner import MERGE_EVERY, base_before, found
 
 OUT_SCHEMA = "conv_id long, turn long, role string, text string"
-MERGE_EVERY = 8
-
-
-def _base_before(batch_id: int, every: int) -> int:
-    """The last batch before ``batch_id`` after which a base was written; -1 for none."""
-    return batch_id // every * every - 1
 
 
 def _merged(spark: SparkSession, out_dir: str, batch_id: int, every: int, k: int) -> DataFrame:
     """The tails after the batches before ``batch_id``: the base and what was written since."""
-    base = _base_before(batch_id, every)
+    base = base_before(batch_id, every)
     paths = [f"{out_dir}/base/{base}"] if base >= 0 else []
     paths += [f"{out_dir}/tails/{b}" for b in range(base + 1, batch_id)]
     rows = spark.read.schema(OUT_SCHEMA).parquet(*paths) if paths else spark.range(0).select(
@@ -57,16 +52,9 @@ def start(spark: SparkSession, conv_dir: str, schema, out_dir: str, k: int = HIS
                 .trigger(availableNow=True).start())
 
 
-def _found(spark: SparkSession, pattern: str) -> list[str]:
-    """The folders that match ``pattern`` and were written whole, by name."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
-    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
-    return [f.getPath().getParent().getName() for f in found or ()]
-
-
 def settings(spark: SparkSession, out_dir: str) -> tuple[int, int] | None:
     """``k`` and ``merge_every`` of the table, noted when its stream first starts; None before."""
-    if not _found(spark, f"{out_dir}/settings"):
+    if not found(spark, f"{out_dir}/settings"):
         return None
     row = spark.read.schema("k int, every int").parquet(f"{out_dir}/settings").first()
     return row.k, row.every
@@ -74,7 +62,7 @@ def settings(spark: SparkSession, out_dir: str) -> tuple[int, int] | None:
 
 def batches_done(spark: SparkSession, out_dir: str) -> int:
     """How many micro-batches were written whole; they are numbered from 0 without gaps."""
-    return max((int(name) + 1 for name in _found(spark, f"{out_dir}/tails/*")), default=0)
+    return max((int(name) + 1 for name in found(spark, f"{out_dir}/tails/*")), default=0)
 
 
 def tails(spark: SparkSession, out_dir: str) -> DataFrame:

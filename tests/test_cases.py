@@ -178,6 +178,31 @@ def test_usage_counts_over_batches(spark):
     assert not os.path.exists(f"{out}/never")
 
 
+def test_monthly_usage_over_batches_bases_and_a_late_call(spark):
+    src, out = folder(spark), run_folder(spark, "cases")
+    schema = "event_id long, ts timestamp, user_id string"
+    day = lambda d: spark.sql(f"SELECT timestamp'{d} 12:00:00' AS t").first().t
+    jan, feb = day("2024-01-31"), day("2024-02-01")
+    batches = [[jan, jan], [jan, feb], [feb], [feb, jan], [feb]]
+    for b, times in enumerate(batches):
+        put(spark, src, [(10 * b + i, t, u) for i, t in enumerate(times) for u in ("a", None)], schema)
+    users = spark.createDataFrame([("a", "starter", 3, 99)], "id string, plan string, plan_limit int, usage_count int")
+    run = lambda **how: await_query(SU.start(spark, src, schema, users, out, files_per_batch=1, monthly=True, **how), 300)
+    run(merge_every=2)
+    mine = {r.event_id: (r.rn, r.allowed) for r in spark.read.parquet(f"{out}/gated").filter("user_id = 'a'").collect()}
+    # January: 0, 1, 10 and the late 31; February: 11, 20, 30, 40
+    assert mine == {0: (1, True), 1: (2, True), 10: (3, True), 31: (4, False),
+                    11: (1, True), 20: (2, True), 30: (3, True), 40: (4, False)}
+    assert sorted(os.listdir(f"{out}/base")) == ["1", "3"]
+    total = {(r.user_id, str(r.month)): r.seen for r in SU.seen(spark, out).collect()}
+    assert total == {("a", "2024-01-01"): 4, ("a", "2024-02-01"): 4, (None, "2024-01-01"): 4, (None, "2024-02-01"): 4}
+    put(spark, src, [(50, feb, "a")], schema)
+    run(merge_every=2)
+    assert SU.seen(spark, out).filter("user_id = 'a' AND month = DATE'2024-02-01'").first().seen == 5
+    with pytest.raises(ValueError):
+        run(merge_every=3)
+
+
 @pytest.mark.parametrize("text,n", [("", 0), ("x" * 2001, 3)])
 def test_chunk_only_long(spark, text, n):
     from tallybook.operators import docs as DC
