@@ -7,9 +7,9 @@ starts at the first mark that keeps at most ``overlap`` characters of the last
 one and leaves room for the following piece.  A piece of ``size`` or more is marked again
 by the later separators.  Outer blanks of a chunk go, and so do empty chunks.
 
-Everything is a span (start, end) of the text; windows are found by binary search on the
-marks.  Spark applies this helper per document in Arrow batches
-(:func:`tallybook.operators.docs.chunk_text`).
+Everything is a span (start, end) of the text, found one after the other: of the marks only those of the
+open window are held, so a text of any length takes little more than itself.  Spark applies this
+helper per document in Arrow batches (:func:`tallybook.operators.docs.chunk_text`).
 """
 
 from __future__ import annotations
@@ -27,54 +27,82 @@ SEPARATORS = ("\n\n", "\n", " ", "")
 Span = tuple[int, int]
 
 
-def marks(text: str, span: Span, sep: str) -> list[int]:
-    """Both ends of the span and the place of each ``sep`` inside it (every place for an empty one)."""
+def marks(text: str, span: Span, sep: str) -> Iterator[int]:
+    """Both ends of the span and the place of each ``sep`` inside it (every place for an empty one), in order."""
     lo, hi = span
     if not sep:
-        return list(range(lo, hi + 1))
-    places = [lo]
+        yield from range(lo, hi + 1)
+        return
+    yield lo
     at = text.find(sep, lo, hi)
     while at >= 0:
         if at > lo:
-            places.append(at)
+            yield at
         at = text.find(sep, at + len(sep), hi)
-    return [*places, hi]
+    yield hi
 
 
-def windows(at: list[int], size: int, overlap: int) -> Iterator[Span]:
-    """Windows over the marks ``at``, whose gaps are all below ``size``."""
-    first, last = 0, len(at) - 1
-    while True:
-        end = bisect_right(at, at[first] + size) - 1
-        if end >= last:
-            yield at[first], at[last]
-            return
-        yield at[first], at[end]
-        # the earliest start that neither repeats too much nor crowds out the next piece
-        first = min(end, max(bisect_left(at, at[end] - overlap), bisect_left(at, at[end + 1] - size)))
+class Run:
+    """Windows over marks, given one by one, whose gaps are all below ``size``; holds the open window's marks."""
+
+    def __init__(self, first: int, size: int, overlap: int):
+        self.at, self.size, self.overlap = [first], size, overlap
+
+    def add(self, mark: int) -> Iterator[Span]:
+        """The windows that this mark closes."""
+        at = self.at
+        at.append(mark)
+        while mark - at[0] > self.size:
+            end = bisect_right(at, at[0] + self.size) - 1
+            yield at[0], at[end]
+            # the earliest start that neither repeats too much nor crowds out the next piece
+            del at[:min(end, max(bisect_left(at, at[end] - self.overlap), bisect_left(at, at[end + 1] - self.size)))]
+
+    def close(self) -> Iterator[Span]:
+        """The last window, where there is a piece."""
+        if len(self.at) > 1:
+            yield self.at[0], self.at[-1]
+
+
+def even_windows(span: Span, size: int, overlap: int) -> Iterator[Span]:
+    """The windows of a :class:`Run` over a mark at every place."""
+    lo, hi = span
+    while hi - lo > size:
+        yield lo, lo + size
+        lo = min(lo + size, max(lo + size - overlap, lo + 1))
+    if hi > lo:
+        yield lo, hi
 
 
 def spans(text: str, span: Span, separators: tuple[str, ...], size: int, overlap: int) -> Iterator[Span]:
     held = [k for k, s in enumerate(separators) if not s or text.find(s, *span) >= 0]
     level = held[0] if held else len(separators) - 1
-    run = [span[0]]
+    if not separators[level] and size > 1:
+        yield from even_windows(span, size, overlap)
+        return
+    finer = separators[level + 1:]
+    run = Run(span[0], size, overlap)
     for left, right in pairwise(marks(text, span, separators[level])):
         if right - left < size:
-            run.append(right)
+            yield from run.add(right)
             continue
-        if len(run) > 1:
-            yield from windows(run, size, overlap)
-        finer = separators[level + 1:]
+        yield from run.close()
         yield from spans(text, (left, right), finer, size, overlap) if held and finer else [(left, right)]
-        run = [right]
-    if len(run) > 1:
-        yield from windows(run, size, overlap)
+        run = Run(right, size, overlap)
+    yield from run.close()
 
 
-def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-               separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+def chunk_spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                separators: tuple[str, ...] = SEPARATORS) -> Iterator[tuple[int, str]]:
+    """``(start, chunk)``, one by one: each chunk without outer blanks, and its place in the text."""
     if overlap > size:
         raise ValueError("overlap larger than chunk size")
-    text = text or ""
-    chunks = (text[a:b].strip() for a, b in spans(text, (0, len(text)), tuple(separators), size, overlap))
-    return [c for c in chunks if c]
+    for a, b in spans(text, (0, len(text)), tuple(separators), size, overlap):
+        piece = text[a:b].lstrip()
+        if piece:
+            yield b - len(piece), piece.rstrip()
+
+
+def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+               separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    return [chunk for _, chunk in chunk_spans(text or "", size, overlap, separators)]

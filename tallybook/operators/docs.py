@@ -2,18 +2,20 @@
 
 A document is one row, so sections and the threshold test are row
 expressions (no shuffle).  Chunking runs the recursive splitter per
-document inside Arrow batches; documents are spread over tasks by a hash of
-their id so one task never holds a long run of large documents.
+document inside Arrow batches.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallybook.functions.chunk import CHUNK_OVERLAP, CHUNK_SIZE, split_text
+from tallybook.functions.chunk import CHUNK_OVERLAP, CHUNK_SIZE, chunk_spans
 from tallybook.operators.chatlog import strip_ws
 from tallybook.operators.grid import SHEET
 
@@ -58,22 +60,52 @@ def gate(df: DataFrame, text: str = "text", threshold: int = THRESHOLD) -> DataF
               .withColumn("joined", F.array_join("sections", SECTION_JOIN)))
 
 
-def _chunker(size: int, overlap: int):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap))
-    return chunks
+#: Characters of chunks handed over at once.
+CHUNK_BATCH = 1 << 20
+
+
+def _chunk_rows(size: int, overlap: int, schema: T.StructType):
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, held = [], 0
+            for i, text in enumerate(b.column(1)):
+                for n, (start, chunk) in enumerate(chunk_spans(text.as_py(), size, overlap)):
+                    rows.append((i, n, start, chunk))
+                    held += len(chunk)
+                    if held >= CHUNK_BATCH:
+                        yield made(b, rows)
+                        rows, held = [], 0
+            if rows:
+                yield made(b, rows)
+
+    def made(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        at, *columns = zip(*rows)
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)).cast(out.types[0]),
+                                           *(pa.array(c, t) for c, t in zip(columns, list(out.types)[1:]))], schema=out)
+    return run
 
 
 def chunk_text(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_SIZE,
                overlap: int = CHUNK_OVERLAP, threshold: int = THRESHOLD) -> DataFrame:
-    """D3: ``(key, chunk_idx, chunk)``: documents over the threshold are joined
-    and split; others keep their sections as they are.  Only the long ones
-    reach the Python splitter; no text is shuffled."""
+    """D3: ``(key, chunk_idx, start, chunk, split)``: documents over the threshold are joined
+    and split; others keep their sections as they are.  ``start`` is the chunk's place in the joined
+    text.  Only the long ones reach the Python splitter, which hands over chunk rows as it finds them: no
+    value and no batch holds all chunks of a document, and no text is shuffled."""
     g = gate(df.select(key, text), text, threshold)
-    long = g.filter(F.coalesce("split", F.lit(False))).select(key, _chunker(size, overlap)(F.col("joined")).alias("pieces"))
-    short = g.filter(~F.coalesce("split", F.lit(False))).select(key, F.col("sections").alias("pieces"))
-    return long.unionByName(short).select(key, F.posexplode("pieces").alias("chunk_idx", "chunk"))
+    schema = T.StructType([df.schema[key], T.StructField("chunk_idx", T.IntegerType()), T.StructField("start", T.LongType()),
+                           T.StructField("chunk", T.StringType())])
+    long = (g.filter(F.coalesce("split", F.lit(False))).select(key, "joined")
+             .mapInArrow(_chunk_rows(size, overlap, schema), schema).withColumn("split", F.lit(True)))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    step = lambda acc, s: F.struct((acc["at"] + F.length(s) + len(SECTION_JOIN)).alias("at"),
+                                   F.array_append(acc["starts"], acc["at"]).alias("starts"))
+    starts = F.aggregate("sections", begin, step, lambda acc: acc["starts"])
+    short = (g.filter(~F.coalesce("split", F.lit(False)))
+              .select(key, F.posexplode(F.arrays_zip(starts.alias("start"), F.col("sections").alias("chunk"))).alias("chunk_idx", "_c"))
+              .select(key, "chunk_idx", "_c.start", "_c.chunk", F.lit(False).alias("split")))
+    return long.unionByName(short)
 
 
 def markdown_lines(grid: DataFrame) -> DataFrame:

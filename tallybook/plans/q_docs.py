@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallybook.operators import docs as DC
+from tallybook.operators.chatlog import WS_CHARS
 from tallybook.plans.catalog import register
 from tallybook.plans.q_chat import WS_RE2
 from tallybook.plans.q_import import LONG, _grid, _with
@@ -58,12 +60,37 @@ def threshold_gate(spark, sf_dir):
 @register("chunk_text")
 def chunk_text(spark, sf_dir):
     """D3: 1000/200 recursive chunks of long documents; short ones keep their sections.
-    (Recursive algorithm: rows-only check; laws are unit-tested.)"""
+    (Recursive algorithm: rows-only check; ``chunk_laws`` checks what must hold of it.)"""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     c = DC.chunk_text(d)
     return c.select("doc_id", "chunk_idx", "chunk", F.length("chunk").alias("n_chars"))
 
 
+@register("chunk_laws", f"""WITH {_SECTIONS},
+agg AS (SELECT doc_id, COUNT(*) AS n, SUM(length(s)) AS total, SUM(length(regexp_replace(s, '{WS_RE2}', '', 'g'))) AS dense
+        FROM kept GROUP BY doc_id)
+SELECT doc_id, total > 2000 AS split, CASE WHEN total <= 2000 THEN n END AS n_sections,
+  CAST(0 AS BIGINT) AS first_start, CAST(total + 2 * (n - 1) AS BIGINT) AS last_end, CAST(dense AS BIGINT) AS n_covered,
+  TRUE AS in_bounds
+FROM agg""")
+def chunk_laws(spark, sf_dir):
+    """D3, what holds of any right splitting: per document, every character that is no blank lies in a chunk (``n_covered``
+    counts each once), from the joined text's first to its last; chunks of split documents have at most 1000
+    characters, advance, and repeat at most 200; other documents keep their sections."""
+    c = DC.chunk_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    c = c.withColumn("end", F.col("start") + F.length("chunk"))
+    w = Window.partitionBy("doc_id").orderBy("chunk_idx")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    c = c.select("*", F.lag("start").over(w).alias("_start"), F.lag("end").over(w).alias("_end"), F.max("end").over(before).alias("_seen"))
+    fresh = F.substr("chunk", (F.greatest(F.coalesce("_seen", F.lit(0)) - F.col("start"), F.lit(0)) + 1).cast("int"))
+    sound = ((~F.col("split") | (F.length("chunk") <= 1000)) & (F.col("start") > F.coalesce("_start", F.lit(-1)))
+             & (F.coalesce("_end", F.lit(0)) - F.col("start") <= 200))
+    return c.groupBy("doc_id").agg(
+        F.bool_or("split").alias("split"), F.nullif(F.count(F.when(~F.col("split"), 1)), F.lit(0)).alias("n_sections"),
+        F.min("start").alias("first_start"), F.max("end").alias("last_end"),
+        F.sum(F.length(F.translate(fresh, WS_CHARS, ""))).alias("n_covered"), F.bool_and(sound).alias("in_bounds"))
+
+
 @register("markdown_table", _with(LONG) + """, wid AS (
   SELECT file, sheet, MAX(col_idx) + 1 AS w, MIN(row_idx) AS first_row FROM long
   WHERE v IS NOT NULL GROUP BY file, sheet),

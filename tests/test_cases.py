@@ -212,6 +212,21 @@ def test_chunk_only_long(spark, text, n):
     assert len([r for r in got if r.doc_id == 1]) == n and all(r.doc_id != 3 for r in got)
 
 
+def test_chunk_rows_over_many_handed_batches(spark, monkeypatch):
+    from tallybook.functions.chunk import split_text
+    from tallybook.operators import docs as DC
+    monkeypatch.setattr(DC, "CHUNK_BATCH", 3000)
+    texts = {i: ("\n" if i % 2 else " ").join(f"w{i}x{j}" for j in range(200 * i)) for i in range(1, 12)} | {12: "a\n  b \n\nc", 13: " \n", 14: None, 15: "z" * 9000}
+    rows = DC.chunk_text(spark.createDataFrame(list(texts.items()), "k long, t string").coalesce(2), "k", "t").collect()
+    joined = {k: "\n\n".join(x.strip() for x in t.split("\n") if x.strip()) for k, t in texts.items() if t is not None}
+    assert all(joined[r.k].startswith(r.chunk, r.start) for r in rows)
+    for k, t in texts.items():
+        mine = [r.chunk for r in sorted((r for r in rows if r.k == k), key=lambda r: r.chunk_idx)]
+        want = [] if t is None else split_text(joined[k]) if sum(len(x.strip()) for x in t.split("\n")) > 2000 else [x.strip() for x in t.split("\n") if x.strip()]
+        assert mine == want, k
+    assert [(r.start, r.split) for r in rows if r.k == 12] == [(0, False), (3, False), (6, False)]
+
+
 def test_tails_over_many_batches_and_a_repeated_one(spark):
     """Tails over bases and loose batches, in batches of any order of turns, and after a batch that is written again."""
     src, out = folder(spark), run_folder(spark, "cases")

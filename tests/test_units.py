@@ -248,6 +248,20 @@ def test_chunk_laws(n):
         assert shared <= CH.CHUNK_OVERLAP
 
 
+@pytest.mark.parametrize("text", ["word " * 40_000, "x" * 200_000, "line of words\n" * 15_000 + "y" * 50_000])
+def test_chunks_come_one_by_one(text):
+    """What the splitter holds besides the text does not grow with it, and each chunk's place is right."""
+    import tracemalloc
+    tracemalloc.start()
+    n, end = 0, 0
+    for start, chunk in CH.chunk_spans(text):
+        assert text.startswith(chunk, start) and len(chunk) <= CH.CHUNK_SIZE and not text[end:start].strip()
+        n, end = n + 1, start + len(chunk)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not text[end:].strip() and n >= len(text) // CH.CHUNK_SIZE and peak < 200_000
+
+
 @pytest.mark.parametrize("text,size,overlap,want", [
     ("", 10, 2, []), ("  \n\n ", 10, 2, []), ("one two", 10, 2, ["one two"]),
     ("one two three four", 10, 4, ["one two", "two three", "four"]), ("one two three four", 9, 4, ["one two", "three", "four"]),
