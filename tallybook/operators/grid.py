@@ -187,8 +187,8 @@ def csv_width(spark, path: str) -> int:
     return csv_records(spark, path).agg(F.max(F.size("cells"))).first()[0] or 1
 
 
-def grid_scan(spark, path: str) -> DataFrame:
-    """A folder of CSV sheet exports -> grid rows, no header, all text.
+def grid_scan(spark, path: str | list[str]) -> DataFrame:
+    """A folder of CSV sheet exports (or a list of files) -> grid rows, no header, all text.
 
     Files are dealt to tasks by byte ranges and read once, whatever their width and with line breaks in quoted fields
     (:mod:`tallybook.operators.csvscan`).  ``row_idx`` follows file order (ordered, not dense).  ``file`` is
@@ -202,11 +202,14 @@ def grid_scan(spark, path: str) -> DataFrame:
                      F.lit(0).alias("sheet_idx"), "row_idx", *parts, "cells")
 
 
+def file_facts(grid: DataFrame) -> DataFrame:
+    """``file, rows, columns, header``: per file with records their number, the widest one and the first one's names."""
+    return grid.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("cells")).alias("columns"),
+                                    F.min_by("cells", "row_idx").alias("header"))
+
+
 def file_catalog(spark, path: str) -> DataFrame:
     """Per CSV file its size, modification time, rows, widest row and first-row names."""
-    grid = grid_scan(spark, path)
-    counts = grid.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("cells")).alias("columns"),
-                                      F.min_by("cells", "row_idx").alias("header"))
     meta = (spark.read.format("binaryFile").load(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("uploaded_at")))
-    return meta.join(counts, "file", "left")
+    return meta.join(file_facts(grid_scan(spark, path)), "file", "left")

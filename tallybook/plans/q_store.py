@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallybook.operators import filelog
 from tallybook.operators import grid as G
 from tallybook.operators import ingest
 from tallybook.operators import mapping as M
@@ -16,6 +17,7 @@ from tallybook.session import store
 from tallybook.sources import sheets as SH
 from tallybook.sources.stored import _fs_exists, stored_path
 from tallybook.sources.tables import table
+from tallybook.streaming.runner import run_folder
 
 
 @register("file_gate", """SELECT page_id, url,
@@ -290,3 +292,32 @@ def file_catalog(spark, sf_dir):
     # an export (a folder by bucket and sheet) is one file, or more when it has many rows
     return c.filter((F.col("size") > 0) & F.col("uploaded_at").isNotNull() & (F.size("header") > 0)).agg(
         F.countDistinct(F.regexp_extract("file", r"(bucket=[^/]*/sheet=[^/]*)/[^/]*$", 1)).alias("files"), F.sum("rows").cast("long").alias("rows"), F.max("columns").alias("widest"))
+
+
+def _delete(spark, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@register("file_ledger", """SELECT CAST(o.bucket AS INTEGER) AS bucket, o.n * (CASE WHEN o.bucket = 3 THEN 2 ELSE 1 END) AS n_rows, 3 AS widest,
+  CASE WHEN o.bucket < 12 THEN 1 ELSE 2 END AS first_read, CASE WHEN o.bucket < 12 AND o.bucket <> 3 THEN 1 ELSE 2 END AS last_read, 0 AS n_empty
+FROM (SELECT l_orderkey % 16 AS bucket, COUNT(*) AS n FROM lineitem GROUP BY 1) o WHERE o.bucket <> 5
+UNION ALL SELECT 99, 0, 0, 2, 2, 1""")
+def file_ledger(spark, sf_dir):
+    """S13 + S14: a catalog of CSV exports brought up to date twice; in between, buckets are added, one gets more files, one is
+    deleted and a file without data comes.  ``first_read`` and ``last_read`` are the updates that read a bucket's files."""
+    folder, catalog = run_folder(spark, "exports"), run_folder(spark, "file-catalog")
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.select((F.col("l_orderkey") % 16).alias("bucket"), "l_orderkey", "l_linenumber", "l_quantity")
+    n = li.count()
+    write = lambda part, name: G.write_csv(part, f"{folder}/{name}", ["bucket"], F.col("l_orderkey"), ["l_orderkey", "l_linenumber"], n, 16)
+    write(rows.filter("bucket < 12"), "first")
+    filelog.update(spark, folder, catalog)
+    write(rows.filter("bucket >= 12 OR bucket = 3"), "second")
+    _delete(spark, f"{folder}/first/bucket=5")
+    spark.range(2).select(F.lit("").alias("c"), F.lit(99).alias("bucket")).coalesce(1).write.option("emptyValue", "").partitionBy("bucket").csv(f"{folder}/third")
+    filelog.update(spark, folder, catalog)
+    c = filelog.read(spark, catalog).withColumn("bucket", F.regexp_extract("path", r"bucket=(\d+)", 1).cast("int"))
+    return c.groupBy("bucket").agg(
+        F.sum("rows").alias("n_rows"), F.max("columns").alias("widest"), F.min("read_in").alias("first_read"), F.max("read_in").alias("last_read"),
+        F.count_if(F.col("status") == "error").alias("n_empty"))
