@@ -2,10 +2,12 @@
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from tallybook.operators import grid as G
 from tallybook.plans import q_store
 from tallybook.sources import sheets as SH
+from tallybook.sources import stored
 
 SHEET = [("f", "s", 0, r, c) for r, c in enumerate([["t", None], [None, "b"], ["c", "d"], [None, None]])]
 
@@ -47,3 +49,18 @@ def test_headers_are_filled_once(spark, monkeypatch, query):
     monkeypatch.setattr(G, "grid_fill", lambda *a, **k: fills.append(1) or fill(*a, **k))
     assert getattr(q_store, query)(spark, "").count() > 0
     assert len(fills) == 1
+
+
+def test_widened_columns_are_written_but_not_dealt(spark, tmp_path):
+    rows = spark.range(50).select((F.col("id") % 2).alias("bucket"), F.col("id").alias("_k"))
+    G.write_csv(rows, str(tmp_path / "w"), ["bucket"], F.col("_k"), [], 50, 2, [(F.col("_k") + i).alias(f"c{i}") for i in range(3)], "gzip")
+    g = G.grid_scan(spark, str(tmp_path / "w"))
+    assert sorted((r.bucket, r.cells) for r in g.collect()) == sorted((i % 2, [str(i + k) for k in range(3)]) for i in range(50))
+    assert all(r.file.endswith(".csv.gz") for r in g.collect())
+
+
+def test_slices_are_written_without_a_copy_of_the_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored, "stored_path", lambda spark, name, sf_dir: f"{tmp_path}/{name}")
+    path, _ = stored.stored_slices(spark, "s", "", lambda: spark.range(100), "id")
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(100))
+    assert not stored._fs_exists(spark, f"{path}-whole")
