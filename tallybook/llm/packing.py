@@ -43,6 +43,21 @@ _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
+def lowered(text: str) -> str:
+    """The text in lower case where that changes no token, else as it is.
+
+    The tokenizer lower-cases later, after NFC.  Left alone are texts with a final sigma, a dotted capital I (two characters
+    when lower) or special tokens' names, and those that NFC changes before or after lower-casing: a mark may join a small letter
+    but not its capital.
+    """
+    if text.isascii():
+        return text if "<|" in text else text.lower()
+    if "\u03a3" in text or "\u0130" in text or "<|" in text:
+        return text
+    low = text.lower()
+    return low if unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) else text
+
+
 class Encoder:
     """Word-by-word encoding with a bounded memory of words, equal to encoding whole texts.
 
@@ -88,8 +103,7 @@ class Encoder:
         return made
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        # lower-casing first is what the tokenizer does later, but for a final sigma, a dotted capital I (two characters when lower) and special tokens' names
-        split = [(t if "\u03a3" in t or "\u0130" in t or "<|" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
+        split = [lowered(t).replace("\n", " ").split(" ") for t in texts]
         known = self.known
         fresh = set().union(*split).difference(known)
         made = self._learn(fresh) if fresh else {}

@@ -204,3 +204,11 @@ def test_words_equal_whole_texts_on_odd_letters():
     want = [e.ids + [2] for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
     wrong = [t for t, w, g in zip(texts, want, words(texts)) if np.frombuffer(g, "<u4").tolist() != w]
     assert not wrong, wrong[:5]
+
+
+def test_marks_that_join_only_the_small_letter():
+    """NFC leaves a capital with dialytika and an accent as two characters; lower-cased first, they would join."""
+    texts = ["Ϋ́", "1Ϋ́'x", "ẞΪ́ ", "á ΫA", "plain Text"]
+    whole, words = Tokenizer.from_file(VOCABULARY), packing.Encoder(VOCABULARY, 2)
+    for t, b in zip(texts, words(texts)):
+        assert np.frombuffer(b, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids + [2], t
