@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.operators.pnl import margin_pct, money, project_totals
+from tallybook.session import dealt
 
 
 def unpaid_labor(labor: DataFrame, by=("user_id",)) -> DataFrame:
@@ -119,13 +120,14 @@ def monthly_cost(labor: DataFrame, material: DataFrame, milestones: DataFrame) -
              .select("user_id", F.col("m").cast("string").alias("month"), "kind", "amount", "n_rows"))
 
 
-def ledger_count(labor: DataFrame, material: DataFrame, milestones: DataFrame) -> DataFrame:
-    """Rows per project in each ledger (``COUNT(*) WHERE project_id = ?`` for all)."""
+def ledger_count(labor: DataFrame, material: DataFrame, milestones: DataFrame, rows: int = 0) -> DataFrame:
+    """Rows per project in each ledger (``COUNT(*) WHERE project_id = ?`` for all); ``rows``, about how many all have, sets the
+    number of tasks."""
     u = (labor.select("project_id", F.lit("labor_costs").alias("table_name"))
          .unionByName(material.select("project_id", F.lit("material_costs").alias("table_name")))
          .unionByName(milestones.select("project_id",
                                         F.lit("payment_milestones").alias("table_name"))))
-    return u.groupBy("project_id", "table_name").agg(F.count(F.lit(1)).alias("n_rows"))
+    return dealt(u, rows, "project_id").groupBy("project_id", "table_name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def user_projects(projects: DataFrame, user_id=None) -> DataFrame:

@@ -11,6 +11,7 @@ from tallybook.plans.catalog import register
 from tallybook.plans.oracle import margin, money, with_ledgers
 from tallybook.plans.q_pnl import _EXACT_CHILDREN, LEDGER_NAMES
 from tallybook.sources import fixtures as fx
+from tallybook.sources.tables import table
 
 AS_OF = "1998-01-15"
 
@@ -119,7 +120,7 @@ GROUP BY ALL""", "labor_costs", "material_costs", "payment_milestones"))
 def ledger_count(spark, sf_dir):
     """Rows per project in each ledger."""
     return Q.ledger_count(fx.labor_costs(spark, sf_dir), fx.material_costs(spark, sf_dir),
-                          fx.payment_milestones(spark, sf_dir))
+                          fx.payment_milestones(spark, sf_dir), table(spark, sf_dir, "lineitem").count())
 
 
 @register("user_projects", with_ledgers("SELECT user_id, id, name FROM projects", "projects"))
