@@ -10,14 +10,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallybook.functions.chunk import CHUNK_OVERLAP, CHUNK_SIZE, chunk_spans
 from tallybook.operators.chatlog import strip_ws
-from tallybook.operators.grid import SHEET
+from tallybook.operators.grid import SHEET, short_sheets
+from tallybook.session import dealt
 
 # Extension -> document type, and the joining threshold.
 DOC_TYPES = {".docx": "DOCX", ".pdf": "PDF", ".png": "IMG", ".jpg": "IMG", ".jpeg": "IMG",
@@ -112,11 +113,16 @@ def markdown_lines(grid: DataFrame) -> DataFrame:
     """Each sheet as a markdown table titled ``### Sheet: name``, the first
     row being the header (blank -> ``Unnamed: i``) and blank cells ``nan``; the
     sheet width is its widest row.  Output ``(file, sheet, row_idx, line)``
-    with the title, header and rule on the first row's line."""
+    with the title, header and rule on the first row's line.  Short sheets are dealt once and measured where they lie."""
     last = F.aggregate(F.transform("cells", lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0)),
                        F.lit(0), lambda a, b: F.greatest(a, b))
-    info = grid.groupBy(*SHEET).agg(F.max(last).alias("_w"), F.min("row_idx").alias("_first"))
-    j = grid.join(info, SHEET, "inner").filter(F.col("_w") > 0)
+    if short_sheets(grid):
+        w = Window.partitionBy(*SHEET)
+        named = grid.filter(F.col("file").isNotNull() & F.col("sheet").isNotNull())
+        j = dealt(named, grid.count(), *SHEET).select("*", F.max(last).over(w).alias("_w"), F.min("row_idx").over(w).alias("_first"))
+    else:
+        j = grid.join(grid.groupBy(*SHEET).agg(F.max(last).alias("_w"), F.min("row_idx").alias("_first")), SHEET, "inner")
+    j = j.filter(F.col("_w") > 0)
     idx = F.sequence(F.lit(0), F.col("_w") - 1)
     head = F.transform(idx, lambda i: F.coalesce(F.try_element_at("cells", i + 1),
                                                   F.concat(F.lit("Unnamed: "), i.cast("string"))))
