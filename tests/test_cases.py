@@ -259,3 +259,15 @@ def test_message_stream_with_stored_replies(spark):
     got = {r.reply_token: (r.route, r.reply) for r in spark.read.parquet(f"{out}/replies").collect()}
     assert got["r1"][0] == "reject" and got["r2"][0] == "material_costs"
     assert got["r3"] == ("error", MS.ERROR_TEXT + "not a JSON object: no json")
+
+
+def test_messages_match_by_a_key_of_16_bytes(spark):
+    msgs = spark.createDataFrame([("p" * 300, 0, "u", "งานบ้าน"), ("p" * 300, 1, "u", "-"), (None, 0, "u", "งานบ้าน"), ("q", None, "u", "งานบ้าน"), ("q", 0, "v", "งานบ้าน")],
+                                 "payload_id string, event_idx int, user_id string, text string")
+    projects = spark.createDataFrame([("1", "u", "บ้าน"), ("2", "u", "งานบ้าน"), ("3", "w", "บ้าน")], "id string, user_id string, name string")
+    got = MS.project_name_match(msgs, projects)
+    assert got.columns == [*msgs.columns, "project_id", "project_name"]
+    assert sorted((str(r.payload_id)[:1], r.event_idx, r.project_id) for r in got.filter("project_id is not null").collect()) == [("p", 0, "2")] and got.count() == 5
+    assert {len(r[0]) for r in MS.keyed(msgs).select(MS.KEY).filter("_m is not null").collect()} == {16}
+    replies = spark.createDataFrame([("p" * 300, 0, "a"), ("p" * 300, 0, "b"), (None, 0, "c")], "payload_id string, event_idx int, model_reply string")
+    assert sorted(r.model_reply or "" for r in MS.with_replies(msgs, replies).collect()) == ["", "", "", "", "b"]

@@ -1,10 +1,13 @@
 """Short sheets are dealt once; payloads are parsed once; both give what the longer ways give."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from tallybook.operators import grid as G
 from tallybook.operators import ingest
 from tallybook.operators import messages as MS
+from tallybook.session import CLEANUP_CONF, store
 
 ROWS = [("a", "S", 0, 0, ["Jobs", None, None]), ("a", "S", 0, 1, ["Worker", "Days", "Daily Rate"]), ("a", "S", 0, 2, ["A", "๕", "฿1,000.50"]),
         ("a", "S", 0, 3, [None, "1.2.3", "7"]), ("a", "T", 1, 0, ["x", "y"]), ("a", "T", 1, 0, ["x", "y"]), ("a", "T", 1, 1, ["1", None]),
@@ -54,3 +57,25 @@ def test_payloads_are_parsed_once(spark):
         "payload_id", "event_idx", F.coalesce("event_type", F.lit("")).alias("event_type"), F.coalesce("text", F.lit("")).alias("text"), "bad_json").collect()) == [
         ("0", 0, "message", " hi ", False), ("0", 1, "", "", False), ("0", 2, "follow", "", False), ("3", -1, "", "", True), ("4", -1, "", "", True)]
     assert "Union" not in plan(got)
+
+
+def test_samples_as_body_and_headers_give(spark):
+    more = [("a", "T", 1, r, [str(r), None, "z"]) for r in range(2, 9)] + [("c", "V", 0, 0, ["h", "h2"]), ("c", "V", 0, 1, [None, None])]
+    g = spark.createDataFrame(ROWS + more, "file string, sheet string, sheet_idx int, row_idx long, cells array<string>")
+    want = G.sheet_sample(*reversed(G.fill_and_search(g)), k=3)
+    got = G.filled_samples(g, 3)
+    assert rows(got) == rows(want) == rows(G.filled_samples(g, 3, block=1)) and got.count() >= 3
+    assert plan(got).count("Arguments: hashpartitioning(file") == 1
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+    df = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    before = files()
+    stored = store(df, "shuffled")
+    until = time.time() + 20
+    while files() - before and time.time() < until:     # executors are told to delete, not waited for
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(CLEANUP_CONF, None) is None
+    assert stored.count() == df.count() == 7
