@@ -65,3 +65,11 @@ def test_slices_are_written_without_a_copy_of_the_whole(spark, tmp_path, monkeyp
     path, _ = stored.stored_slices(spark, "s", "", lambda: spark.range(100), "id")
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(100))
     assert not stored._fs_exists(spark, f"{path}-whole")
+
+
+def test_an_array_of_numbers_is_written_as_lines(spark, tmp_path):
+    rows = spark.range(50).select((F.col("id") % 2).alias("bucket"), F.when(F.col("id") > 0, F.col("id")).alias("_k"))
+    G.write_csv(rows, str(tmp_path / "w"), ["bucket"], F.col("_k"), [], 50, 2, compression="gzip",
+                numbers=F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.col("_k") + i))
+    back = spark.read.csv(str(tmp_path / "w"), schema="c0 long, c1 long, c2 long, bucket int").collect()
+    assert sorted((r.c0 or 0, r.c1 or 0, r.c2 or 0, r.bucket) for r in back) == [(k, k + bool(k), k + 2 * bool(k), k % 2) for k in range(50)]
